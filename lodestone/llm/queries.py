@@ -9,15 +9,30 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, topk
+from . import bpe, topk, toxicity, urlfilter
 from .common import table
 
 VOCABULARY = "word_bpe_49k.json"
 
 
+def unseen(doc_id: Column) -> Column:
+    """Whether a document is held out of learning."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 3 == 1
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (spark.read.parquet(table(sf_dir, t)) for t in ("documents", "labels"))
+    found = toxicity.judge(docs, labels, ~unseen(F.col("doc_id")))
+    return found.select("doc_id", unseen(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(spark.read.parquet(table(sf_dir, "pages")))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(table(sf_dir, "documents"))
     return bpe.encode_decode(docs, public_tokenizers.path(VOCABULARY))
@@ -30,6 +45,8 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": op1_toxicity,
+        "op2_urls": op2_urls,
         "op6_bpe": op6_bpe,
         "op7_topk": op7_topk,
     }
