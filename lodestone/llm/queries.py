@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, topk, toxicity, urlfilter
+from . import bpe, mixing, sharding, topk, toxicity, urlfilter
 from .common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -33,6 +33,10 @@ def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(spark.read.parquet(table(sf_dir, "pages")))
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(spark.read.parquet(table(sf_dir, "documents")))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(table(sf_dir, "documents"))
     return bpe.encode_decode(docs, public_tokenizers.path(VOCABULARY))
@@ -43,12 +47,25 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, F.coalesce(F.col("vec_id") % 50 == 0, F.lit(False)))
 
 
+def mix_levels() -> list[Column]:
+    return [mixing.domain_of(F.col("source")), F.col("lang"), F.col("source")]
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(table(sf_dir, "documents"))
+    found = mixing.mix(docs, mix_levels(), mixing.n_words(F.col("text")))
+    names = [F.col("path")[i].alias(n) for i, n in enumerate(("domain", "lang", "source"))]
+    return found.select("doc_id", *names, "epoch", "tokens", "budget")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_urls": op2_urls,
+        "op4_sharding": op4_sharding,
         "op6_bpe": op6_bpe,
         "op7_topk": op7_topk,
+        "op8_mixing": op8_mixing,
     }
 
 
