@@ -178,3 +178,45 @@ def ranked_within(df: DataFrame, keys: list[str], order: list[Column], spread: C
     inside = Window.partitionBy(*keys, cell).orderBy(*order)
     out = df.join(sums, [*keys, cell])
     return out.withColumn(name, F.row_number().over(inside).cast("long") - 1 + F.col(first)).drop(cell, first)
+
+
+# ---------------------------------------------------------------- runs
+
+
+def sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of the rows with one value in the first column (long, not null),
+    for batches that come sorted by it.  Only one run is held at a time."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column(0).to_numpy()
+        heads = np.flatnonzero(key[1:] != key[:-1]) + 1
+        if held and held[-1].column(0)[0].as_py() != int(key[0]):
+            yield pa.Table.from_batches(held)
+            held = []
+        start = 0
+        for end in [*heads.tolist(), len(key)]:
+            if start:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(start, end - start))
+            start = end
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def block_pairs(df: DataFrame, keys: list[str], spread: Column, rows: int, counts: DataFrame | None = None) -> DataFrame:
+    """Deals the rows of each key into blocks of about ``rows`` and gives, for
+    each pair of blocks of a key, all rows of both: columns ``unit`` (a hash of
+    key and pair), ``side`` (0 or 1; 0 throughout where a block meets itself).
+    A key that fits one block is one unit."""
+    if counts is None:
+        counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_"))
+    large = saved(counts.where(F.col("n_") > rows).select(*keys, F.ceil(F.col("n_") / rows).cast("int").alias("nb_")))
+    out = df.join(large, keys, "left").withColumn("nb_", F.coalesce("nb_", F.lit(1)))
+    out = out.withColumn("own_", F.pmod(spread, F.col("nb_")).cast("int"))
+    out = out.withColumn("other_", F.explode(F.sequence(F.lit(0), F.col("nb_") - 1)))
+    low, high = F.least("own_", "other_"), F.greatest("own_", "other_")
+    out = out.withColumn("unit", F.xxhash64(*keys, low, high)).withColumn("side", (F.col("own_") > F.col("other_")).cast("int"))
+    return out.drop("nb_", "own_", "other_")
