@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed_dedup, mixing, sharding, topk, toxicity, urlfilter
+from . import bpe, embed_dedup, mixing, ngram_join, sharding, topk, toxicity, urlfilter
 from .common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -33,6 +33,10 @@ def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(spark.read.parquet(table(sf_dir, "pages")))
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(spark.read.parquet(table(sf_dir, "documents")), size=4, percent=85)
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(spark.read.parquet(table(sf_dir, "documents")))
 
@@ -66,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_urls": op2_urls,
+        "op3_jaccard": op3_jaccard,
         "op4_sharding": op4_sharding,
         "op6_bpe": op6_bpe,
         "op7_topk": op7_topk,
