@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed_dedup, mixing, ngram_join, sharding, topk, toxicity, urlfilter
+from . import bpe, embed_dedup, line_dedup, mixing, ngram_join, sharding, topk, toxicity, urlfilter
 from .common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -41,6 +41,11 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(spark.read.parquet(table(sf_dir, "documents")))
 
 
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(table(sf_dir, "documents")).select("doc_id", "text")
+    return line_dedup.dedup_lines(docs, counted=True)
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(table(sf_dir, "documents"))
     return bpe.encode_decode(docs, public_tokenizers.path(VOCABULARY))
@@ -72,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_urls": op2_urls,
         "op3_jaccard": op3_jaccard,
         "op4_sharding": op4_sharding,
+        "op5_lines": op5_lines,
         "op6_bpe": op6_bpe,
         "op7_topk": op7_topk,
         "op8_mixing": op8_mixing,
