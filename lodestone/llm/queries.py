@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed_dedup, line_dedup, mixing, ngram_join, sharding, topk, toxicity, urlfilter
+from . import bpe, embed_dedup, license_scan, line_dedup, mixing, ngram_join, sharding, topk, toxicity, urlfilter
 from .common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -67,6 +67,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *names, "epoch", "tokens", "budget")
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(spark.read.parquet(table(sf_dir, "documents")))
+
+
 def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(spark.read.parquet(table(sf_dir, "embeddings")))
 
@@ -81,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_bpe": op6_bpe,
         "op7_topk": op7_topk,
         "op8_mixing": op8_mixing,
+        "op9_licenses": op9_licenses,
         "op10_embeddings": op10_embeddings,
     }
 
