@@ -143,7 +143,6 @@ def convert(rst: str | None, stripped: frozenset[str] = frozenset(STRIPPED)) ->
     return _tidy("\n".join(out)), code
 
 
-@F.pandas_udf("struct<text: string, code_blocks: array<struct<lang: string, code: string>>>")
 def _clean(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         yield pd.DataFrame([convert(t) for t in batch], columns=["text", "code_blocks"])
@@ -151,4 +150,5 @@ def _clean(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 def clean_rst(text: Column) -> Column:
     """struct<text, code_blocks> of a reStructuredText column."""
-    return _clean(text)
+    kind = "struct<text: string, code_blocks: array<struct<lang: string, code: string>>>"
+    return F.pandas_udf(_clean, kind)(text)

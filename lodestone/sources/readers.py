@@ -9,6 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas
 from ..operators.ordinals import with_ordinal
@@ -77,8 +78,9 @@ def ground_truth(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     out = None
     for number, path in enumerate(paths):
         text = spark.read.text(path, wholetext=True).select(F.trim("value").alias("v"))
-        listed = F.from_json("v", f"array<struct<{_inner(schemas.GROUND_TRUTH)}>>")
-        keyed = F.map_values(F.from_json("v", f"map<string, struct<{_inner(schemas.GROUND_TRUTH)}>>"))
+        one = T.StructType.fromDDL(schemas.GROUND_TRUTH)
+        listed = F.from_json("v", T.ArrayType(one))
+        keyed = F.map_values(F.from_json("v", T.MapType(T.StringType(), one)))
         rows = text.select(F.lit(number).alias("file"), F.posexplode(F.when(F.startswith("v", F.lit("[")), listed).otherwise(keyed)).alias("at", "t"))
         out = rows if out is None else out.unionByName(rows)
     fixed = F.transform("t.relevant_docs", lambda d: d.withField("index", F.coalesce(d["index"], d["doc_index"])))
@@ -87,20 +89,6 @@ def ground_truth(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return out.withColumn("ordinal", F.row_number().over(by)).drop("file", "at")
 
 
-def _inner(ddl: str) -> str:
-    """Top-level DDL fields in the notation of a struct's."""
-    depth, out, name = 0, "", True
-    for c in ddl:
-        depth += (c == "<") - (c == ">")
-        if c == " " and depth == 0 and name and out.strip() and not out.endswith(", "):
-            out, name = out + ": ", False
-        else:
-            out += c
-        if c == "," and depth == 0:
-            name = True
-    return out
-
-
 def results(spark: SparkSession, path: str) -> DataFrame:
     return json_array(spark, path, schemas.RESULT)
 
