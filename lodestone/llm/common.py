@@ -40,9 +40,20 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/lodestone/{spark.sparkContext.applicationId}"
+
+
+def clear_saved(spark: SparkSession) -> None:
+    """Removes the intermediate tables of this application, once its results
+    are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def saved(df: DataFrame, parts: list[str] | None = None) -> DataFrame:
     """``df`` written to the shared folder and read back."""
-    path = f"{shared_dir(df.sparkSession)}/lodestone/{uuid.uuid4().hex}"
+    path = f"{_own_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     writer = df.write.mode("overwrite").option("compression", "zstd" if not parts else "snappy")
     (writer.partitionBy(*parts) if parts else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -18,7 +18,6 @@ An empty table gives no rows.  Further columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
