@@ -18,7 +18,9 @@ What a bucket (the documents of one key) yields:
    Parity sketches (an upper bound of the difference that never misses) drop
    most pairs; each document's best is verified exactly, and components follow.
 2. Buckets that still hold several components pair the members of different
-   components, in blocks; pairs that pass the sketches are verified exactly.
+   components, in blocks: first each member with the one whose sketch is nearest,
+   which joins most components of a large group; then, over the components that
+   follow, all pairs.  Pairs that pass the sketches are verified exactly.
 
 So each linked pair is verified or already connected, while a large group of near
 copies costs a few pairs a member.  Keys travel packed, many to a row; a task
@@ -348,8 +350,9 @@ def _fit(layout: Layout, n: np.ndarray, m: np.ndarray, far: np.ndarray) -> np.nd
     return (far * (100 + p) <= (100 - p) * (n + m)) & (np.minimum(n, m) * 100 >= p * np.maximum(n, m))
 
 
-def _cross(layout: Layout):
-    """Pairs of different components within the blocks of a bucket."""
+def _cross(layout: Layout, best: bool):
+    """Pairs of different components within the blocks of a bucket: all, or with
+    ``best`` for each document the one whose sketch is nearest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run_ in sorted_runs(batches):
@@ -360,13 +363,18 @@ def _cross(layout: Layout):
             x = np.frombuffer(b"".join(run_.column("sk").to_pylist()), _U).reshape(len(a), -1)
             found = []
             whole = not side.any()
-            for i in range(len(a)) if whole else np.flatnonzero(side == 0).tolist():
-                j = np.arange(i + 1, len(a)) if whole else np.flatnonzero(side == 1)
+            for i in range(len(a)):
+                j = np.arange(len(a)) if whole else np.flatnonzero(side != side[i])
+                if not best:
+                    j = j[j > i]
                 j = j[(comp[j] != comp[i]) & ((role[i] == INDEX) | (role[j] == INDEX))]
                 j = j[np.minimum(n[i], n[j]) * 100 >= layout.p * np.maximum(n[i], n[j])]
                 if len(j):
                     far = np.bitwise_count(x[j] ^ x[i]).sum(axis=1).astype(np.int64)
-                    j = j[_fit(layout, n[i], n[j], far)]
+                    fit = _fit(layout, n[i], n[j], far)
+                    j, far = j[fit], far[fit]
+                if len(j):
+                    j = j[np.lexsort((a[j], far / (n[i] + n[j])))][:1] if best else j
                     found.append(np.stack([np.full(len(j), a[i]), a[j]], axis=1))
             if found:
                 pairs = np.sort(np.concatenate(found), axis=1)
@@ -449,18 +457,23 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = saved(verified(docs, saved(best.distinct()), size, percent))
     links = links.union(of(COPY).select("a", "b"))
 
-    comps = saved(connected_components(links))
-    members = of(MEMBER).select("k", F.col("a").alias("id"), "n", "role").join(comps, "id", "left")
-    members = saved(members.select("k", F.col("id").alias("a"), "n", "role", F.coalesce("component_id", "id").alias("comp")))
-    part = lambda s: F.sum(F.pmod(F.xxhash64("a", F.lit(s)), F.lit(1 << 31)))
-    mixed = members.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c"), part(1).alias("s1"), part(2).alias("s2"))
-    mixed = mixed.where("lo <> hi").groupBy("c", "s1", "s2").agg(F.min("k").alias("k")).select("k", F.col("c").alias("n_"))
-    mixed = saved(mixed)
-    rest = members.join(mixed.select("k"), "k").join(own.select(F.col("id").alias("a"), "sk"), "a")
-    dealt = block_pairs(rest, ["k"], F.xxhash64("a"), BLOCK, mixed)
-    dealt = dealt.select("unit", "a", "n", "role", "comp", "side", "sk").repartition("unit").sortWithinPartitions("unit")
-    more = saved(dealt.mapInArrow(_cross(layout), "a long, b long").distinct())
-    links = saved(links.union(verified(docs, more, size, percent)))
+    def crossing(links: DataFrame, best: bool) -> DataFrame:
+        """Links found among the buckets' members of different components."""
+        comps = saved(connected_components(links))
+        members = of(MEMBER).select("k", F.col("a").alias("id"), "n", "role").join(comps, "id", "left")
+        members = saved(members.select("k", F.col("id").alias("a"), "n", "role", F.coalesce("component_id", "id").alias("comp")))
+        part = lambda s: F.sum(F.pmod(F.xxhash64("a", F.lit(s)), F.lit(1 << 31)))
+        mixed = members.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c"), part(1).alias("s1"), part(2).alias("s2"))
+        # Of the buckets with the same members one is enough.
+        mixed = mixed.where("lo <> hi").groupBy("c", "s1", "s2").agg(F.min("k").alias("k")).select("k", F.col("c").alias("n_"))
+        mixed = saved(mixed)
+        rest = members.join(mixed.select("k"), "k").join(own.select(F.col("id").alias("a"), "sk"), "a")
+        dealt = block_pairs(rest, ["k"], F.xxhash64("a"), BLOCK, mixed)
+        dealt = dealt.select("unit", "a", "n", "role", "comp", "side", "sk").repartition("unit").sortWithinPartitions("unit")
+        return verified(docs, saved(dealt.mapInArrow(_cross(layout, best), "a long, b long").distinct()), size, percent)
+
+    for best_only in (True, False):
+        links = saved(links.union(crossing(links, best_only)))
     comps = connected_components(links)
     result = own.select("id", "n").join(comps, "id", "left")
     return result.select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
