@@ -6,14 +6,16 @@ least ``percent`` / 100; a line of fewer than ``least`` different words is never
 removed and removes none.
 
 Words are ordered by rarity.  The counts behind that order cover all documents
-and stand in a hashed table of fixed size; any order gives the same result, and a
-collision only makes a word look less rare.  Each line that is the first of its
+and stand, as logarithms of a byte, in a hashed table of fixed size (16 MB); any
+order gives the same result, and a collision only makes a word look less rare.  Each line that is the first of its
 set in its task writes the words of its prefix; lines that share one are
 candidates, subject to the length filter, the positional filter and a parity
-sketch, none of which drops a match.  In a bucket a line keeps its two nearest
-candidates before it; these are verified by whole sets.  Lines that had more
-candidates and no match yet are compared with every one of them in a second
-round, over the buckets of their own prefix words.  Equal sets need no
+sketch, none of which drops a match.  In a bucket a line keeps its ``KEEP``
+nearest candidates before it.  A wider parity sketch drops more of them; then the
+nearest of each line is verified by whole sets, then the others of the lines
+without a match.  Lines that had more candidates in a bucket and still no match
+are compared with every one of them in a last round, over the buckets of their
+own prefix words.  Equal sets need no
 candidates: all but the first are removed.
 
 Defined cases.  Lines are parted by newlines.  Null has no lines and stays null;
@@ -35,12 +37,14 @@ from pyspark.sql import types as T
 from .common import Hasher, clean_name, lowered, mix, saved, shuffle_parts, sorted_runs, text_slices, words
 
 _U = np.uint64
-COUNTERS = 1 << 18
+COUNTERS = 1 << 24
+SLICE = 1 << 16  # counters that travel together
 BITS = 1 << 23
 FLUSH = 1 << 20
 FINE = 8
 PAIRS = 2_000_000  # candidate pairs looked at together
-KEEP = 2
+KEEP = 32
+WIDE = 2  # bits of the wide sketch for each word of a line
 SETS, KEYS = 0, 1
 
 _SET = np.dtype([("s1", "<u8"), ("s2", "<u8"), ("doc", "<i8"), ("line", "<i4")])
@@ -74,7 +78,7 @@ def lines_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def bucket_of(h: np.ndarray) -> np.ndarray:
-    return (h >> _U(46)).astype(np.int64)
+    return (h >> _U(40)).astype(np.int64)
 
 
 class Lines:
@@ -88,38 +92,66 @@ class Lines:
         starts, ends, _ = words(data, offsets)
         return self.hasher.ranges(data, starts, ends)
 
-    def cut(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def cut(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Row and number of each line, its offset among the words (with the
-        end), and for each word its place in the order and its hash."""
+        end), and the hash of each word."""
         at, row, number = lines_of(data, offsets)
         data = lowered(data)
         starts, ends, first = words(data, at)
         h = self.hasher.ranges(data, starts, ends)
         line = np.repeat(np.arange(len(row)), np.diff(first))
-        rare = np.minimum(self.counts[bucket_of(h)], (1 << 24) - 1).astype(_U)
-        place = (rare << _U(40)) | (h & _U((1 << 40) - 1))
-        order = np.lexsort((h, place, line))
-        place, h, line = place[order], h[order], line[order]
+        rare = self.counts[bucket_of(h)].astype(_U)
+        # One key for line, rarity and hash; where the bits that fit leave
+        # different words equal, the full order decides.
+        room = _U(56 - len(row).bit_length())
+        short = (line.astype(_U) << (room + _U(8))) | (rare << room) | (h >> (_U(64) - room))
+        order = np.argsort(short)
+        key, sorted_h = short[order], h[order]
+        if np.any((key[1:] == key[:-1]) & (sorted_h[1:] != sorted_h[:-1])):
+            order = np.lexsort((h, rare, line))
+        h, line = h[order], line[order]
         keep = np.r_[True, (h[1:] != h[:-1]) | (line[1:] != line[:-1])] if len(h) else np.zeros(0, bool)
-        place, h, line = place[keep], h[keep], line[keep]
-        return row, number, np.searchsorted(line, np.arange(len(row) + 1)), place, h
+        h, line = h[keep], line[keep]
+        return row, number, np.searchsorted(line, np.arange(len(row) + 1)), h
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    lines, seen = Lines(), np.zeros(COUNTERS, np.int64)
+    """The hashed words of one task with their counts, FLUSH words at a time."""
+    lines, held, total = Lines(), [], 0
+
+    def flush() -> pa.RecordBatch:
+        nonlocal held, total
+        at, n = np.unique(np.concatenate(held), return_counts=True)
+        held, total = [], 0
+        return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n)], names=["at", "n"])
+
     for batch in batches:
         for _, _, data, offsets in text_slices(batch.column(0)):
-            seen += np.bincount(bucket_of(lines.hashes(data, offsets)), minlength=COUNTERS)
-    at = np.flatnonzero(seen)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["at", "n"])
+            held.append(bucket_of(lines.hashes(data, offsets)))
+            total += len(held[-1])
+            if total >= 4 * FLUSH:
+                yield flush()
+    if held:
+        yield flush()
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counters, sorted by slice, as a byte each: 8 log2(1 + count)."""
+    for run_ in sorted_runs(batches):
+        out = np.zeros(SLICE, np.uint8)
+        at, n = (run_.column(i).combine_chunks().to_numpy() for i in (1, 2))
+        out[at % SLICE] = np.minimum(255, np.round(8 * np.log2(1.0 + n)))
+        yield pa.RecordBatch.from_arrays([run_.column(0).slice(0, 1).combine_chunks(), pa.array([out.tobytes()], pa.binary())], names=["slice", "body"])
 
 
 def word_counts(docs: DataFrame) -> np.ndarray:
-    """Counts of hashed words over all texts; COUNTERS numbers at most."""
-    sums = docs.select("text").mapInArrow(_count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(COUNTERS, np.int64)
-    out[sums.column("at").to_numpy()] = sums.column("n").to_numpy()
-    return out
+    """The rarity table over all texts, COUNTERS bytes whatever their size."""
+    sums = docs.select("text").mapInArrow(_count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n"))
+    sliced = sums.select(F.floor(F.col("at") / SLICE).cast("long").alias("slice"), "at", "n").repartition("slice").sortWithinPartitions("slice")
+    out = np.zeros((COUNTERS // SLICE, SLICE), np.uint8)
+    for row in sliced.mapInArrow(_slices, "slice long, body binary").toLocalIterator():
+        out[row["slice"]] = np.frombuffer(row["body"], np.uint8)
+    return out.ravel()
 
 
 def spots(x: np.ndarray) -> np.ndarray:
@@ -156,7 +188,7 @@ def _pack(counts, percent: int, least: int, parts: int, only=None):
         for batch in batches:
             for lo, hi, data, offsets in text_slices(batch.column(1)):
                 ids = batch.column(0).slice(lo, hi - lo).to_numpy()
-                row, number, first, place, h = lines.cut(data, offsets)
+                row, number, first, h = lines.cut(data, offsets)
                 n = np.diff(first)
                 use = np.flatnonzero(n >= least)
                 if not len(use):
@@ -211,6 +243,11 @@ def _expand(counts: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndar
 
 def candidates_of(entries: np.ndarray, percent: int, keep: int | None, only: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(later, earlier, whether more were dropped) entries of the buckets."""
+    entries = entries[np.argsort(entries["k"])]
+    same = np.r_[False, entries["k"][1:] == entries["k"][:-1]]
+    entries = entries[same | np.r_[same[1:], False]]  # most words stand alone
+    if not len(entries):
+        return
     entries = entries[np.lexsort((entries["line"], entries["doc"], entries["set"], entries["k"]))]
     first = np.r_[True, (entries["set"][1:] != entries["set"][:-1]) | (entries["k"][1:] != entries["k"][:-1])]
     entries = entries[first]  # where a set stands in several tasks, its first line
@@ -292,16 +329,56 @@ def bitmap(rows: DataFrame, kind: str):
     return rows.sparkSession.sparkContext.broadcast(total.tobytes())
 
 
-def _sets(counts, wanted):
+def wide(h: np.ndarray) -> bytes:
+    """The parity of the words that fall on each bit of a sketch whose width, a
+    power of two, follows their number."""
+    bits = 1 << max(8, (WIDE * len(h) - 1).bit_length())
+    at = (mix(h) % _U(bits)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def distance(x: bytes, y: bytes) -> int:
+    """Bits in which wide sketches differ, the wider folded onto the other."""
+    a, b = (np.frombuffer(z, _U) for z in (x, y))
+    if len(a) != len(b):
+        a, b = sorted((a, b), key=len)
+        b = np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def _sets(wanted):
+    """Sets and wide sketches of the wanted lines; no other line is cut."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lines, bits = Lines(counts.value), np.unpackbits(np.frombuffer(wanted.value, np.uint8)).astype(bool)
+        hasher, bits = Hasher(), np.unpackbits(np.frombuffer(wanted.value, np.uint8)).astype(bool)
         for batch in batches:
             for lo, hi, data, offsets in text_slices(batch.column(1)):
                 ids = batch.column(0).slice(lo, hi - lo).to_numpy()
-                row, number, first, _, h = lines.cut(data, offsets)
+                at, row, number = lines_of(data, offsets)
                 use = np.flatnonzero(bits[line_spots(ids[row], number)])
-                bodies = [np.sort(h[first[i] : first[i + 1]]).tobytes() for i in use.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row[use]]), pa.array(number[use].astype(np.int32)), pa.array(bodies, pa.binary())], names=["doc", "line", "body"])
+                if not len(use):
+                    continue
+                own = np.concatenate([data[at[i] : at[i + 1]] for i in use.tolist()])
+                starts, ends, first = words(lowered(own), np.append(0, np.cumsum(at[use + 1] - at[use])))
+                h = hasher.ranges(lowered(own), starts, ends)
+                sets = [np.unique(h[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+                cols = [pa.array(ids[row[use]]), pa.array(number[use].astype(np.int32)), pa.array([len(x) for x in sets], pa.int32())]
+                cols += [pa.array([wide(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc", "line", "n", "sk", "body"])
+
+    return run
+
+
+def _closer(percent: int):
+    """Drops pairs whose wide sketches forbid a match; ``far`` orders the rest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(i).to_numpy().astype(np.int64) for i in (4, 5))
+            far = np.array([distance(x, y) for x, y in zip(batch.column(6).to_pylist(), batch.column(7).to_pylist(), strict=True)], np.int64)
+            keep = far * (100 + percent) <= (100 - percent) * (n + m)
+            out = batch.select([0, 1, 2, 3]).append_column("far", pa.array(far / np.maximum(n + m, 1)))
+            yield out.filter(pa.array(keep))
 
     return run
 
@@ -319,13 +396,28 @@ def _exact(percent: int):
     return run
 
 
-def _verified(docs: DataFrame, counts, pairs: DataFrame, percent: int) -> DataFrame:
-    """(doc, line) of the pairs (doc, line, doc0, line0) that match."""
+_ENDS = ["doc", "line", "doc0", "line0"]
+
+
+def _early(sets: DataFrame, *more: str) -> DataFrame:
+    return sets.select(F.col("doc").alias("doc0"), F.col("line").alias("line0"), *[F.col(c).alias(f"{c}0") for c in more])
+
+
+def _matching(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """(doc, line) of the lines that match one of theirs in ``pairs``."""
     ends = pairs.select("doc", "line").union(pairs.select(F.col("doc0").alias("doc"), F.col("line0").alias("line"))).distinct()
-    sets = docs.mapInArrow(_sets(counts, bitmap(ends, "line")), "doc long, line int, body binary")
-    early = sets.select(F.col("doc").alias("doc0"), F.col("line").alias("line0"), F.col("body").alias("body0"))
-    full = pairs.join(sets, ["doc", "line"]).join(early, ["doc0", "line0"]).select("doc", "line", "body", "body0")
-    return full.mapInArrow(_exact(percent), "doc long, line int")
+    sets = saved(docs.mapInArrow(_sets(bitmap(ends, "line")), "doc long, line int, n int, sk binary, body binary").dropDuplicates(["doc", "line"]))
+    near = pairs.join(sets.select("doc", "line", "n", "sk"), ["doc", "line"]).join(_early(sets, "n", "sk"), ["doc0", "line0"])
+    near = saved(near.select(*_ENDS, "n", "n0", "sk", "sk0").mapInArrow(_closer(percent), "doc long, line int, doc0 long, line0 int, far double"))
+
+    def exact(some: DataFrame) -> DataFrame:
+        full = some.join(sets.select("doc", "line", "body"), ["doc", "line"]).join(_early(sets, "body"), ["doc0", "line0"])
+        return saved(full.select("doc", "line", "body", "body0").mapInArrow(_exact(percent), "doc long, line int").distinct())
+
+    best = near.groupBy("doc", "line").agg(F.min(F.struct("far", "doc0", "line0")).alias("m")).select("doc", "line", "m.doc0", "m.line0")
+    gone = exact(best)
+    others = near.join(best, _ENDS, "left_anti").join(gone, ["doc", "line"], "left_anti")
+    return gone.union(exact(others))
 
 
 def removals(docs: DataFrame, percent: int, least: int) -> DataFrame:
@@ -342,12 +434,11 @@ def removals(docs: DataFrame, percent: int, least: int) -> DataFrame:
 
     first = saved(found())
     near = first.where(F.col("doc0").isNotNull())
-    gone = saved(_verified(docs, counts, near.select("doc", "line", "doc0", "line0").distinct(), percent).distinct())
+    gone = _matching(docs, near.select(*_ENDS).distinct(), percent)
     open_ = saved(near.where(F.col("key").isNotNull()).select("doc", "line", "key").join(gone, ["doc", "line"], "left_anti"))
     if not open_.isEmpty():
         again = found(bitmap(open_.select("key").distinct(), "key"), bitmap(open_.select("doc", "line").distinct(), "line"))
-        again = saved(again.select("doc", "line", "doc0", "line0").distinct())
-        gone = gone.union(_verified(docs, counts, again, percent))
+        gone = gone.union(_matching(docs, saved(again.select(*_ENDS).distinct()), percent))
     return first.where(F.col("doc0").isNull()).select("doc", "line").union(gone).distinct()
 
 
