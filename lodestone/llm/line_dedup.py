@@ -12,8 +12,8 @@ set in its task writes the words of its prefix; lines that share one are
 candidates, subject to the length filter, the positional filter and a parity
 sketch, none of which drops a match.  In a bucket a line keeps its ``KEEP``
 nearest candidates before it.  A wider parity sketch drops more of them; then the
-nearest of each line is verified by whole sets, then the others of the lines
-without a match.  Lines that had more candidates in a bucket and still no match
+``FIRST`` nearest of each line are verified by whole sets, then the others of the
+lines without a match.  Lines that had more candidates in a bucket and still no match
 are compared with every one of them in a last round, over the buckets of their
 own prefix words.  Equal sets need no
 candidates: all but the first are removed.
@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,7 +43,8 @@ BITS = 1 << 23
 FLUSH = 1 << 20
 FINE = 8
 PAIRS = 2_000_000  # candidate pairs looked at together
-KEEP = 32
+KEEP = 6
+FIRST = 2  # candidates of a line that are verified at once
 WIDE = 2  # bits of the wide sketch for each word of a line
 SETS, KEYS = 0, 1
 
@@ -403,21 +404,39 @@ def _early(sets: DataFrame, *more: str) -> DataFrame:
     return sets.select(F.col("doc").alias("doc0"), F.col("line").alias("line0"), *[F.col(c).alias(f"{c}0") for c in more])
 
 
+def _of_lines(wanted):
+    """Rows of a table of lines that are in a bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(np.frombuffer(wanted.value, np.uint8)).astype(bool)
+        for batch in batches:
+            yield batch.filter(pa.array(bits[line_spots(batch.column(0).to_numpy(), batch.column(1).to_numpy())]))
+
+    return run
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select("doc", "line").union(pairs.select(F.col("doc0").alias("doc"), F.col("line0").alias("line")))
+
+
 def _matching(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """(doc, line) of the lines that match one of theirs in ``pairs``."""
-    ends = pairs.select("doc", "line").union(pairs.select(F.col("doc0").alias("doc"), F.col("line0").alias("line"))).distinct()
-    sets = saved(docs.mapInArrow(_sets(bitmap(ends, "line")), "doc long, line int, n int, sk binary, body binary").dropDuplicates(["doc", "line"]))
+    """(doc, line) of the lines that match one of theirs in ``pairs``, a table
+    that was written out."""
+    kinds = "doc long, line int, n int, sk binary, body binary"
+    sets = saved(docs.mapInArrow(_sets(bitmap(_ends(pairs), "line")), kinds))
     near = pairs.join(sets.select("doc", "line", "n", "sk"), ["doc", "line"]).join(_early(sets, "n", "sk"), ["doc0", "line0"])
-    near = saved(near.select(*_ENDS, "n", "n0", "sk", "sk0").mapInArrow(_closer(percent), "doc long, line int, doc0 long, line0 int, far double"))
+    near = near.select(*_ENDS, "n", "n0", "sk", "sk0").mapInArrow(_closer(percent), "doc long, line int, doc0 long, line0 int, far double")
+    nearest = Window.partitionBy("doc", "line").orderBy("far", "doc0", "line0")
+    near = saved(near.withColumn("place", F.row_number().over(nearest)))
 
     def exact(some: DataFrame) -> DataFrame:
-        full = some.join(sets.select("doc", "line", "body"), ["doc", "line"]).join(_early(sets, "body"), ["doc0", "line0"])
+        own = sets.select("doc", "line", "body").mapInArrow(_of_lines(bitmap(_ends(some), "line")), "doc long, line int, body binary")
+        full = some.join(own, ["doc", "line"]).join(_early(own, "body"), ["doc0", "line0"])
         return saved(full.select("doc", "line", "body", "body0").mapInArrow(_exact(percent), "doc long, line int").distinct())
 
-    best = near.groupBy("doc", "line").agg(F.min(F.struct("far", "doc0", "line0")).alias("m")).select("doc", "line", "m.doc0", "m.line0")
-    gone = exact(best)
-    others = near.join(best, _ENDS, "left_anti").join(gone, ["doc", "line"], "left_anti")
-    return gone.union(exact(others))
+    gone = exact(near.where(F.col("place") <= FIRST).select(*_ENDS))
+    others = saved(near.where(F.col("place") > FIRST).select(*_ENDS).join(gone, ["doc", "line"], "left_anti"))
+    return gone if others.isEmpty() else gone.union(exact(others))
 
 
 def removals(docs: DataFrame, percent: int, least: int) -> DataFrame:
@@ -434,7 +453,7 @@ def removals(docs: DataFrame, percent: int, least: int) -> DataFrame:
 
     first = saved(found())
     near = first.where(F.col("doc0").isNotNull())
-    gone = _matching(docs, near.select(*_ENDS).distinct(), percent)
+    gone = _matching(docs, saved(near.select(*_ENDS).distinct()), percent)
     open_ = saved(near.where(F.col("key").isNotNull()).select("doc", "line", "key").join(gone, ["doc", "line"], "left_anti"))
     if not open_.isEmpty():
         again = found(bitmap(open_.select("key").distinct(), "key"), bitmap(open_.select("doc", "line").distinct(), "line"))
