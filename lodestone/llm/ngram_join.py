@@ -9,7 +9,9 @@ If the allocations of a document's non-empty segments exceed H, similar document
 agree in one of them.  A document indexes the keys of its segments in its own
 band and probes the lower bands that hold sizes it can match.  How many segments
 of a band have allocation 2 is chosen by a cost model of rows written and chance
-meetings.  A document too unevenly cut for the guarantee also writes keys for its
+meetings.  Within that, a document rests its guarantee on its largest segments,
+as many as H asks for: small ones are where unrelated documents meet.  A pair
+counts only where one of the two has chosen the segment.  A document too unevenly cut for the guarantee also writes keys for its
 empty segments; two such documents meet there.
 
 What a bucket (the documents of one key) yields:
@@ -52,7 +54,9 @@ SKETCH = 1024  # bits
 BLOCK = 1024  # documents of a bucket that are compared at once
 FLUSH = 1 << 20  # keys a task holds before it packs them
 FINE = 8  # packed parts for each shuffle partition
-INDEX, PROBE, TAKEN = 0, 1, 2  # role of a key; TAKEN: already passed on as member
+# Bits of a key's role; TAKEN: already passed on as member; CHOSEN: one of the
+# segments that the document's own guarantee rests on.
+PROBE, TAKEN, CHOSEN = 1, 2, 4
 MEMBER, EDGE, DOC, COPY, KEYS = 0, 1, 2, 3, 4
 
 
@@ -117,39 +121,47 @@ class Layout:
     def band(self, n: int) -> int:
         return int(np.searchsorted(self.edges, n, side="right")) - 1
 
-    def keys(self, h: np.ndarray, v: np.ndarray, band: int, differ: int) -> np.ndarray:
+    def keys(self, h: np.ndarray, v: np.ndarray, band: int, differ: int) -> tuple[np.ndarray, np.ndarray]:
         """The keys of the sorted set ``h`` (``v``: its mixed values) in a band,
-        where partners differ in at most ``differ`` elements."""
+        where partners differ in at most ``differ`` elements, and which of them
+        are chosen."""
         m, two = self.plan[band]
         segment = ((h >> _U(32)) * _U(m)) >> _U(32)
         heads = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]])
         sums = np.add.reduceat(v, heads)
         ids = segment[heads]
         tag = lambda s: (s + _U(1)) * _U(_STEP[0]) + _U(((band + 1) * _STEP[1]) % (1 << 64))
-        out = [mix(sums + tag(ids))]
-        weight = len(ids)
+        sizes = np.diff(np.r_[heads, len(h)])
+        wide = (ids < two) & (sizes >= 2)
+        weight = 1 + wide
+        order = np.argsort(-sizes, kind="stable")
+        enough = int(np.searchsorted(np.cumsum(weight[order]), differ + 1)) + 1
+        chosen = np.zeros(len(ids), bool)
+        chosen[order[:enough]] = True
+        out, marks = [mix(sums + tag(ids))], [chosen]
         if two:
-            sizes = np.diff(np.r_[heads, len(h)])
-            wide = (ids < two) & (sizes >= 2)
-            weight += int(wide.sum())
             within = np.repeat(np.arange(len(ids)), sizes)
             spare = np.flatnonzero(wide[within])
             out.append(mix(sums[within[spare]] - v[spare] + tag(segment[spare])))
-        if weight <= differ:
+            marks.append(chosen[within[spare]])
+        if enough > len(ids):  # the segments that are not empty don't suffice
             bare = np.setdiff1d(np.arange(m, dtype=_U), ids)
             if two:
                 bare = np.r_[bare, ids[(ids < two) & (sizes == 1)]]
             out.append(mix(tag(bare)))
-        return np.unique(np.concatenate(out))
+            marks.append(np.ones(len(bare), bool))
+        return np.concatenate(out), np.concatenate(marks)
 
-    def emit(self, h: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
-        """Keys and role of a set, for its own band and those it probes."""
+    def emit(self, h: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Keys and roles of a set, for its own band and those it probes."""
         n = len(h)
         v = mix(h ^ _U(_STEP[3]))
         own = self.band(n)
-        yield self.keys(h, v, own, self.tolerance(n, n * 100 // self.p)), INDEX
+        keys, chosen = self.keys(h, v, own, self.tolerance(n, n * 100 // self.p))
+        yield keys, chosen * np.uint8(CHOSEN)
         for band in range(self.band(-(-self.p * n // 100)), own):
-            yield self.keys(h, v, band, self.tolerance(n, self.low[band + 1] - 1)), PROBE
+            keys, chosen = self.keys(h, v, band, self.tolerance(n, self.low[band + 1] - 1))
+            yield keys, chosen * np.uint8(CHOSEN) + np.uint8(PROBE)
 
 
 def sketch(h: np.ndarray) -> bytes:
@@ -167,6 +179,11 @@ def leaders(ids: np.ndarray, heads: np.ndarray, sizes: np.ndarray) -> tuple[np.n
     return heads, np.minimum(heads + 1, heads + sizes - 1)
 
 
+def _may_link(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether one role indexes and one has chosen the key."""
+    return ((x & y & PROBE) == 0) & ((x | y) & CHOSEN > 0)
+
+
 def runs_of(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``entries`` sorted by key and hash of id, with heads and sizes of runs."""
     entries = entries[np.lexsort((mix(entries["id"].astype(_U)), entries["k"]))]
@@ -180,8 +197,7 @@ def led(entries: np.ndarray, heads: np.ndarray, sizes: np.ndarray) -> np.ndarray
     pairs = []
     for lead in leaders(entries["id"], heads, sizes):
         a, b = entries["id"], np.repeat(entries["id"][lead], sizes)
-        both_probe = (entries["role"] & PROBE > 0) & np.repeat(entries["role"][lead] & PROBE > 0, sizes)
-        keep = (a != b) & ~both_probe
+        keep = (a != b) & _may_link(entries["role"], np.repeat(entries["role"][lead], sizes))
         pairs.append(np.stack([a[keep], b[keep]], axis=1))
     return np.unique(np.concatenate(pairs), axis=0)
 
@@ -220,6 +236,7 @@ def _pack(size: int, percent: int, parts: int):
                 # The leader stands for members of either role.
                 indexed = np.maximum.reduceat((entries["role"] & PROBE == 0).astype(np.uint8), heads)
                 sent["role"] = np.where(indexed > 0, sent["role"] & ~np.uint8(PROBE), sent["role"])
+                sent["role"] |= np.bitwise_or.reduceat(entries["role"] & np.uint8(CHOSEN), heads)
                 part = (sent["k"] >> _U(7)) % _U(parts)
                 order = np.argsort(part, kind="stable")
                 sent, part = sent[order], part[order]
@@ -245,9 +262,9 @@ def _pack(size: int, percent: int, parts: int):
                         copies.append((id_, seen[mark]))
                         continue
                     seen[mark] = id_
-                    for keys, role in layout.emit(h):
+                    for keys, roles in layout.emit(h):
                         entry = np.empty(len(keys), _PACK)
-                        entry["k"], entry["id"], entry["n"], entry["role"] = keys, id_, len(h), role
+                        entry["k"], entry["id"], entry["n"], entry["role"] = keys, id_, len(h), roles
                         held.append(entry)
                         total += len(keys)
                     if total >= FLUSH:
@@ -293,7 +310,7 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _rows(EDGE, len(pairs), a=np.ascontiguousarray(pairs[:, 0]), b=np.ascontiguousarray(pairs[:, 1]))
 
     def members(found: np.ndarray) -> pa.RecordBatch:
-        plain = (found["role"] & PROBE).astype(np.int32)
+        plain = (found["role"] & (PROBE | CHOSEN)).astype(np.int32)
         return _rows(MEMBER, len(found), k=found["k"].astype(np.int64), a=found["id"].astype(np.int64), n=found["n"].astype(np.int32), role=plain)
 
     for run_ in sorted_runs(batches):
@@ -316,7 +333,7 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield _rows(DOC, len(docs), a=ids, n=docs["n"].astype(np.int32), sk=[x.tobytes() for x in docs["sk"]])
         if keys:
             entries, heads, sizes = runs_of(np.concatenate(keys))
-            often = sizes > 1
+            often = (sizes > 1) & (np.bitwise_or.reduceat(entries["role"], heads) & CHOSEN > 0)
             if often.any():
                 many = entries[np.repeat(often, sizes)]
                 own_sizes = sizes[often]
@@ -367,7 +384,7 @@ def _cross(layout: Layout, best: bool):
                 j = np.arange(len(a)) if whole else np.flatnonzero(side != side[i])
                 if not best:
                     j = j[j > i]
-                j = j[(comp[j] != comp[i]) & ((role[i] == INDEX) | (role[j] == INDEX))]
+                j = j[(comp[j] != comp[i]) & _may_link(role[i], role[j])]
                 j = j[np.minimum(n[i], n[j]) * 100 >= layout.p * np.maximum(n[i], n[j])]
                 if len(j):
                     far = np.bitwise_count(x[j] ^ x[i]).sum(axis=1).astype(np.int64)
@@ -462,10 +479,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         comps = saved(connected_components(links))
         members = of(MEMBER).select("k", F.col("a").alias("id"), "n", "role").join(comps, "id", "left")
         members = saved(members.select("k", F.col("id").alias("a"), "n", "role", F.coalesce("component_id", "id").alias("comp")))
-        part = lambda s: F.sum(F.pmod(F.xxhash64("a", F.lit(s)), F.lit(1 << 31)))
-        mixed = members.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c"), part(1).alias("s1"), part(2).alias("s2"))
-        # Of the buckets with the same members one is enough.
-        mixed = mixed.where("lo <> hi").groupBy("c", "s1", "s2").agg(F.min("k").alias("k")).select("k", F.col("c").alias("n_"))
+        part = lambda s: F.sum(F.pmod(F.xxhash64("a", "role", F.lit(s)), F.lit(1 << 31)))
+        mixed = members.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c"), F.max(F.col("role").bitwiseAND(CHOSEN)).alias("chosen"), part(1).alias("s1"), part(2).alias("s2"))
+        # Of the buckets with the same members in the same roles one is enough.
+        mixed = mixed.where("lo <> hi AND chosen > 0").groupBy("c", "s1", "s2").agg(F.min("k").alias("k")).select("k", F.col("c").alias("n_"))
         mixed = saved(mixed)
         rest = members.join(mixed.select("k"), "k").join(own.select(F.col("id").alias("a"), "sk"), "a")
         dealt = block_pairs(rest, ["k"], F.xxhash64("a"), BLOCK, mixed)
