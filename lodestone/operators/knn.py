@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 
 PART_ROWS, BLOCK_ROWS = 8192, 1024
+MEASURED = 200  # queries on which the recall of a number of probes is measured
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -89,17 +90,49 @@ def _nearest(centres: np.ndarray, probes: int):
     return run
 
 
-def by_cells(corpus: DataFrame, queries: DataFrame, k: int = 5, probes: int = 1, id_col: str = "vec_id", vector_col: str = "embedding", digits: int = 6) -> DataFrame:
+def probes_for(corpus: DataFrame, queries: DataFrame, centres: np.ndarray, k: int, recall: float, id_col: str = "vec_id", vector_col: str = "embedding") -> int:
+    """How many of its nearest cells a query has to look into, so that ``recall``
+    of the k nearest by brute force are found.  Measured on all queries, or on
+    ``MEASURED`` of them in order of a hash; twice the error of such a sample is
+    then added to what is asked."""
+    asks = queries.where(F.col(vector_col).isNotNull())
+    some = asks.orderBy(F.xxhash64(id_col), id_col).limit(MEASURED)
+    near = exact(corpus, some, k, id_col=id_col, vector_col=vector_col).select("query_id", "doc_id")
+    slim = lambda df, name, v: df.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias(name), V.doubles(F.col(vector_col)).alias(v))
+    pairs = near.join(slim(some, "query_id", "q"), "query_id").join(slim(corpus, "doc_id", "v"), "doc_id").select("q", "v").toArrow()  # k * MEASURED rows
+    if not pairs.num_rows:
+        return 1
+    far = lambda x: (x**2).sum(1)[:, None] - 2 * x @ centres.T + (centres**2).sum(1)[None, :]
+    own = far(_matrix(pairs.column("v"))).argmin(axis=1)
+    order = np.argsort(far(_matrix(pairs.column("q"))), axis=1, kind="stable")
+    place = np.sort(np.argmax(order == own[:, None], axis=1))
+    if asks.count() > MEASURED:
+        recall += 2 * np.sqrt(recall * (1 - recall) / MEASURED)
+    return int(place[min(len(place), int(np.ceil(recall * len(place)))) - 1]) + 1
+
+
+def by_cells(corpus: DataFrame, queries: DataFrame, k: int = 5, probes: int = 1, id_col: str = "vec_id", vector_col: str = "embedding", digits: int = 6, recall: float | None = None) -> DataFrame:
     """As ``exact`` with ``l2``, but each query looks into its ``probes`` nearest
-    cells only."""
+    cells only; with ``recall``, into as many as ``probes_for`` says."""
     centres = fit_cells(corpus, vector_col)
+    if recall is not None:
+        probes = probes_for(corpus, queries, centres, k, recall, id_col, vector_col)
     slim = lambda df: df.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), V.doubles(F.col(vector_col)).alias("v"))
     schema = "id long, v array<double>, cells array<int>"
-    rows = slim(corpus).mapInArrow(_nearest(centres, 1), schema).select(F.col("id").alias("doc_id"), "v", F.col("cells")[0].alias("cell"))
-    asks = slim(queries).mapInArrow(_nearest(centres, min(probes, len(centres))), schema).select(F.col("id").alias("query_id"), F.col("v").alias("q"), F.explode("cells").alias("cell"))
-    found = asks.join(rows, "cell").select("query_id", "doc_id", F.round(V.squared_l2(F.col("q"), F.col("v")), digits).alias("distance"))
-    by = Window.partitionBy("query_id").orderBy("distance", "doc_id")
-    return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+    rows = slim(corpus).mapInArrow(_nearest(centres, 1), schema).select("id", "v", F.col("cells")[0].alias("cell"))
+    asks = slim(queries).mapInArrow(_nearest(centres, min(probes, len(centres))), schema).select(F.col("id").alias("qid"), "v", F.explode("cells").alias("cell"))
+    # A large cell is dealt into parts; the sizes are a row a cell, 100 at most.
+    pieces = lambda df, size, name: df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+    known = [tuple(r) for r in pieces(rows, PART_ROWS, "parts").join(pieces(asks, BLOCK_ROWS, "blocks"), "cell").collect()]
+    sizes = lambda: F.broadcast(corpus.sparkSession.createDataFrame(known, "cell int, parts int, blocks int"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asks = asks.join(sizes(), "cell").withColumn("block", F.pmod(F.xxhash64("qid"), F.col("blocks")).cast("int")).withColumn("part", every("parts"))
+    rows = rows.join(sizes(), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("block", every("blocks"))
+    by = ["cell", "part", "block"]
+    found = asks.groupBy(*by).cogroup(rows.groupBy(*by)).applyInArrow(_cell("l2", k, digits), "query_id long, doc_id long, far double")
+    best = Window.partitionBy("query_id").orderBy("far", "doc_id")
+    found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return found.select("query_id", "doc_id", F.col("far").alias("distance"), "rank")
 
 
 def by_hashing(corpus: DataFrame, queries: DataFrame, k: int = 5, width: float = 1.0, tables: int = 6, reach: float = 2.0, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 3) -> DataFrame:

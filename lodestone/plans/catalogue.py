@@ -303,7 +303,7 @@ def knn_cosine(spark, sf_dir):
 
 @query
 def knn_ivf(spark, sf_dir):
-    return knn.by_cells(*_asks(spark, sf_dir), probes=4).select("query_id", "doc_id", "distance", "rank")
+    return knn.by_cells(*_asks(spark, sf_dir), recall=0.9).select("query_id", "doc_id", "distance", "rank")
 
 
 @query

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import bm25, features, hybrid, knn, ordinals
-from lodestone.plans import retrieval
+from lodestone.plans import catalogue, retrieval
 from lodestone.sources import crawl, readers, sinks
 from lodestone.streaming.append import append_documents
 
@@ -38,6 +38,16 @@ def test_neighbours(spark, sf_dir):
     assert knn.exact(rows.limit(2), asks.limit(1), k=5).count() == 2
 
 
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01", "sf0.1"])
+def test_index_query_finds_nine_of_ten(spark, size):
+    """The registered setting against brute force."""
+    rows = spark.read.parquet(f"/root/testdata/{size}/embeddings.parquet")
+    got = {(r["query_id"], r["doc_id"]) for r in catalogue.QUERIES["knn_ivf"](spark, f"/root/testdata/{size}").collect()}
+    asks = rows.join(spark.createDataFrame([(q,) for q in {q for q, _ in got}], "vec_id long"), "vec_id", "left_semi")
+    want = {(r["query_id"], r["doc_id"]) for r in knn.exact(rows, asks).collect()}
+    assert len(got & want) >= 0.9 * len(want)
+
+
 def test_fusion_ties_and_gate(spark):
     dense = spark.createDataFrame([(1, 10, 0.5, 1), (1, 11, 0.5, 2), (1, 12, 0.1, 3)], "query_id int, doc_id int, score double, rank int")
     sparse = spark.createDataFrame([(1, 12, 1.0), (1, 13, 0.1), (1, 9, 1.0), (1, 11, 0.0)], "query_id int, doc_id int, score double")
