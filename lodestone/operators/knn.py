@@ -20,7 +20,7 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.flatten().to_numpy().reshape(len(flat), -1)
 
 
-def _cell(metric: str, k: int, digits: int):
+def _cell(metric: str, k: int, digits: int, reach: float = np.inf):
     def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if queries.num_rows and rows.num_rows:
@@ -30,12 +30,11 @@ def _cell(metric: str, k: int, digits: int):
                 q, x = (m / (np.linalg.norm(m, axis=1, keepdims=True) + 1e-8) for m in (q, x))
             for own, v in zip(queries.column("qid").to_numpy(), q, strict=True):
                 # Smaller is nearer in either metric.
-                far = np.round(((x - v) ** 2).sum(axis=1) if metric == "l2" else -(x * v).sum(axis=1), digits)
-                if len(far) > k:
-                    least = np.partition(far, k - 1)[k - 1]
-                    near = np.flatnonzero(far <= least)
-                else:
-                    near = np.arange(len(far))
+                raw = ((x - v) ** 2).sum(axis=1) if metric == "l2" else -(x * v).sum(axis=1)
+                far = np.round(raw, digits)
+                near = np.flatnonzero(raw < reach)
+                if len(near) > k:
+                    near = near[far[near] <= np.partition(far[near], k - 1)[k - 1]]
                 near = near[np.lexsort((ids[near], far[near]))][:k]
                 out.append((np.full(len(near), own), ids[near], far[near]))
         cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
@@ -139,12 +138,19 @@ def by_hashing(corpus: DataFrame, queries: DataFrame, k: int = 5, width: float =
     """As ``exact`` with ``l2``, among the rows that meet a query in one of the
     hash tables and lie within ``reach``."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    slim = lambda df: df.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), array_to_vector(V.doubles(F.col(vector_col))).alias("v"))
-    rows, asks = slim(corpus), slim(queries)
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=width, numHashTables=tables, seed=seed).fit(rows)
-    pairs = model.approxSimilarityJoin(asks, rows, reach, distCol="d")
-    found = pairs.select(F.col("datasetA.id").alias("query_id"), F.col("datasetB.id").alias("doc_id"), F.round(F.col("d") * F.col("d"), 6).alias("distance"))
-    by = Window.partitionBy("query_id").orderBy("distance", "doc_id")
-    return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    slim = lambda df: df.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), array_to_vector(V.doubles(F.col(vector_col))).alias("v"))
+    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=width, numHashTables=tables, seed=seed).fit(slim(corpus))
+    hashed = lambda df, name: model.transform(slim(df)).select(F.col("id").alias(name), vector_to_array("v").alias("v"), F.posexplode("h").alias("t", "h_")).select(name, "v", "t", vector_to_array("h_")[0].alias("bucket"))
+    # The pairs of a bucket are not listed: its best k of a query hold what it has of the best k of all.
+    pieces = lambda df, size, name: df.groupBy("t", "bucket").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+    sizes = lambda: pieces(hashed(corpus, "id"), PART_ROWS, "parts").join(pieces(hashed(queries, "qid"), BLOCK_ROWS, "blocks"), ["t", "bucket"])
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asks = hashed(queries, "qid").join(sizes(), ["t", "bucket"]).withColumn("block", F.pmod(F.xxhash64("qid"), F.col("blocks")).cast("int")).withColumn("part", every("parts"))
+    rows = hashed(corpus, "id").join(sizes(), ["t", "bucket"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("block", every("blocks"))
+    by = ["t", "bucket", "part", "block"]
+    found = asks.groupBy(*by).cogroup(rows.groupBy(*by)).applyInArrow(_cell("l2", k, 6, reach * reach), "query_id long, doc_id long, far double")
+    found = found.groupBy("query_id", "doc_id").agg(F.min("far").alias("distance"))
+    best = Window.partitionBy("query_id").orderBy("distance", "doc_id")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

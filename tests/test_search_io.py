@@ -48,6 +48,13 @@ def test_index_query_finds_nine_of_ten(spark, size):
     assert len(got & want) >= 0.9 * len(want)
 
 
+@pytest.mark.parametrize("name", ["knn_ivf", "knn_lsh"])
+def test_every_fiftieth_vector_is_asked(spark, name):
+    sf_dir = "/root/testdata/sf0.1"
+    want = {r["vec_id"] for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id % 50 = 0").collect()}
+    assert {r["query_id"] for r in catalogue.QUERIES[name](spark, sf_dir).collect()} == want
+
+
 def test_fusion_ties_and_gate(spark):
     dense = spark.createDataFrame([(1, 10, 0.5, 1), (1, 11, 0.5, 2), (1, 12, 0.1, 3)], "query_id int, doc_id int, score double, rank int")
     sparse = spark.createDataFrame([(1, 12, 1.0), (1, 13, 0.1), (1, 9, 1.0), (1, 11, 0.0)], "query_id int, doc_id int, score double")
