@@ -135,6 +135,33 @@ def test_url_model_by_hand():
     assert got == pytest.approx(want)
 
 
+def test_url_scores_are_of_exact_counts(spark):
+    """So many n-grams that a table of fixed size would mix them."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789-_", k=40))
+    rows = [(i, f"http://x.{('org', 'example.org/es', 'net')[i % 3]}/{word()}") for i in range(2400)]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    held = {r["url"] for r in df.where(F.pmod(F.xxhash64("url"), F.lit(5)) == 0).collect()}
+    got = {r["page_id"]: r for r in urlfilter.judge(df).collect()}
+    counts = {"allow": {}, "block": {}}
+    steps = lambda url: ((url[i - k : i], url[i]) for url in ["\2" * urlfilter.ORDER + url + "\3"] for i in range(urlfilter.ORDER, len(url)) for k in range(urlfilter.ORDER + 1))
+    for i, url in rows:
+        if got[i]["rule"] and url not in held:
+            own = counts[got[i]["verdict"]]
+            for context, char in steps(url):
+                own[context] = own.get(context, 0) + 1
+                own[context, char] = own.get((context, char), 0) + 1
+    for i, url in rows[2:120:3]:
+        total = 0.0
+        for label, sign in (("allow", 1), ("block", -1)):
+            p = 1 / 256
+            for context, char in steps(url):
+                p = 1 / 256 if not context else p
+                p = (counts[label].get((context, char), 0) + urlfilter.SMOOTH * p) / (counts[label].get(context, 0) + urlfilter.SMOOTH)
+                total += sign * np.log(p) * (len(context) == urlfilter.ORDER)
+        assert got[i]["score"] == pytest.approx(total / (len(url) + 1), abs=1e-9)
+
+
 def test_url_edges(spark):
     df = spark.createDataFrame([], "page_id long, url string")
     assert urlfilter.judge(df).collect() == []
