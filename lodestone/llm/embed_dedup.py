@@ -1,9 +1,10 @@
 """Embedding near-duplicates by cross-polytope hashing.
 
 A vector is turned by three rounds of random signs and a fast Hadamard
-transform, and hashed to its largest coordinate with its sign.  Each of
-``TABLES`` tables has turns of its own; a table's code joins as many such hashes
-as the number of rows asks for.  A vector stands in the bucket of its code and in
+transform, and hashed to its largest coordinate with its sign.  Each table has
+turns of its own; a table's code joins as many such hashes as the number of rows
+asks for: one in ``TABLES`` tables up to ``BUCKET`` rows, and with more hashes so
+many more tables that a pair at the threshold is missed as seldom.  A vector stands in the bucket of its code and in
 one probe bucket, that of the second-largest coordinate of the least certain
 hash.  Two vectors of a bucket are a candidate pair if it is the own bucket of
 one of them, and every candidate is verified by cosine in double precision.
@@ -35,7 +36,7 @@ from .common import block_pairs, saved, sorted_runs
 from .graph import connected_components, stars
 from .topk import usable
 
-TABLES = 6
+TABLES = 6  # of codes of one hash
 BLOCK = 1024
 SEED = 11
 BUCKET = 1 << 20  # rows from which a table's code takes one hash more
@@ -78,6 +79,32 @@ def codes(x: np.ndarray, table: int, functions: int) -> tuple[np.ndarray, np.nda
     return weigh @ own, weigh @ other
 
 
+def meeting(size: int, width: int, functions: int, least: float) -> float:
+    """The share of pairs of cosine ``least``, of ``size`` components, that meet
+    in a table: 4,000 random trials."""
+    rng = np.random.default_rng(SEED)
+    x, y = (np.zeros((500, width)) for _ in range(2))
+    x[:, :size] = rng.standard_normal((500, size))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y[:, :size] = rng.standard_normal((500, size))
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y = least * x + np.sqrt(max(0.0, 1 - least * least)) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    met = 0
+    for t in range(8):
+        (a, b), (c, d) = codes(x, t, functions), codes(y, t, functions)
+        met += int(((a == c) | (a == d) | (b == c)).sum())
+    return met / 4000
+
+
+def tables_for(size: int, width: int, functions: int, least: float) -> int:
+    """How many tables miss a pair of cosine ``least`` no more often than
+    ``TABLES`` tables of one hash."""
+    if functions == 1:
+        return TABLES
+    one, more = (min(max(meeting(max(2, size), width, f, least), 1 / 4000), 1 - 1 / 4000) for f in (1, functions))
+    return max(TABLES, int(np.ceil(TABLES * np.log(1 - one) / np.log(1 - more))))
+
+
 def unit_rows(vectors: pa.Array, width: int) -> np.ndarray:
     """The vectors as rows of length 1, 0 behind their ends."""
     offsets = vectors.offsets.to_numpy()
@@ -89,17 +116,17 @@ def unit_rows(vectors: pa.Array, width: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _hash(width: int, functions: int, bodies: bool):
+def _hash(width: int, functions: int, tables: int, bodies: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 2000):
                 part = batch.slice(lo, 2000)
                 x = unit_rows(part.column(3), width)
-                pairs = np.stack([np.stack(codes(x, t, functions), axis=1) for t in range(TABLES)], axis=1)  # row, table, own/probe
+                pairs = np.stack([np.stack(codes(x, t, functions), axis=1) for t in range(tables)], axis=1)  # row, table, own/probe
                 flat = pairs.reshape(len(x), -1)
                 packed = [r.tobytes() for r in flat] if bodies else None
                 solid = [r.tobytes() for r in x] if bodies else None
-                for t in range(TABLES):
+                for t in range(tables):
                     for kind in (0, 1):
                         cols = [part.column(0), part.column(1), part.column(2), pa.array(np.full(len(x), t, np.int32)), pa.array(pairs[:, t, kind])]
                         if bodies:
@@ -121,7 +148,7 @@ def _first_here(mine: np.ndarray, i: np.ndarray, j: np.ndarray, t: int, code: np
     return first
 
 
-def _compare(least: float):
+def _compare(least: float, tables: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run_ in sorted_runs(batches):
             n = run_.num_rows
@@ -131,7 +158,7 @@ def _compare(least: float):
             rep, weight, label = (col(c).to_numpy(zero_copy_only=False) for c in ("rep", "weight", "label"))
             side, own, t = (col(c).to_numpy(zero_copy_only=False) for c in ("side", "own", "t"))
             x = np.frombuffer(b"".join(col("body").to_pylist()), np.float64).reshape(n, -1)
-            mine = np.frombuffer(b"".join(col("codes").to_pylist()), np.int64).reshape(n, TABLES, 2)
+            mine = np.frombuffer(b"".join(col("codes").to_pylist()), np.int64).reshape(n, tables, 2)
             code = col("code").to_numpy()[0]
             whole = not side.any()
             counts = np.zeros(n, np.int64)
@@ -173,12 +200,13 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     functions, reach = 1, BUCKET
     while shape["n"] > reach:
         functions, reach = functions + 1, reach * 2 * width
+    tables = tables_for(shape["d"] or 1, width, functions, least)
     side = classes.select("rep", "weight", "label", "v")
-    counts = side.mapInArrow(_hash(width, functions, False), "rep long, weight long, label long, t int, code long").groupBy("label", "t", "code").agg(F.count(F.lit(1)).alias("n_"))
-    hashed = side.mapInArrow(_hash(width, functions, True), "rep long, weight long, label long, t int, code long, own boolean, codes binary, body binary")
+    counts = side.mapInArrow(_hash(width, functions, tables, False), "rep long, weight long, label long, t int, code long").groupBy("label", "t", "code").agg(F.count(F.lit(1)).alias("n_"))
+    hashed = side.mapInArrow(_hash(width, functions, tables, True), "rep long, weight long, label long, t int, code long, own boolean, codes binary, body binary")
     dealt = block_pairs(hashed, ["label", "t", "code"], F.xxhash64("rep"), BLOCK, counts)
     dealt = dealt.select("unit", "rep", "weight", "label", "t", "code", "side", "own", "codes", "body").repartition("unit").sortWithinPartitions("unit")
-    found = saved(dealt.mapInArrow(_compare(least), "a long, b long, n long"))
+    found = saved(dealt.mapInArrow(_compare(least, tables), "a long, b long, n long"))
     linked = found.where("n > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     comps = connected_components(found.where("a <> b").select("a", "b"))
     classes = classes.select("label", "h1", "h2", "rep", "weight").join(linked, "rep", "left").join(comps.withColumnRenamed("id", "rep"), "rep", "left")

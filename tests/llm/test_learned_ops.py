@@ -351,6 +351,26 @@ def test_embeddings(spark, monkeypatch):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got.values())
 
 
+@pytest.mark.parametrize("bucket, functions", [(1 << 20, 1), (100, 2), (4, 3)])
+def test_embedding_links_at_the_threshold(spark, monkeypatch, bucket, functions):
+    """Pairs just above 0.93 are found whatever number of hashes a code has."""
+    monkeypatch.setattr(embed_dedup, "BUCKET", bucket)
+    counted = []
+    real = embed_dedup.tables_for
+    monkeypatch.setattr(embed_dedup, "tables_for", lambda size, width, f, least: counted.append(f) or real(size, width, f, least))
+    rng = np.random.default_rng(5)
+    unit = lambda v: v / np.linalg.norm(v)
+    rows = []
+    for i in range(600):
+        x = unit(rng.standard_normal(64))
+        z = rng.standard_normal(64)
+        y = 0.9301 * x + np.sqrt(1 - 0.9301**2) * unit(z - (x @ z) * x)
+        rows += [(2 * i, x.tolist(), i), (2 * i + 1, y.tolist(), i)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)
+    found = sum(r["n_links"] for r in embed_dedup.near_duplicates(df).collect())
+    assert counted == [functions] and found >= 0.997 * 2 * 600
+
+
 def test_embedding_edges(spark):
     schema = "vec_id long, embedding array<float>, label string"
     assert embed_dedup.near_duplicates(spark.createDataFrame([], schema)).collect() == []
