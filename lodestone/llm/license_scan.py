@@ -1,10 +1,11 @@
-"""License scan: winnowed fingerprints pick candidates, banded alignment decides.
+"""License scan: fingerprints pick candidates, banded alignment decides.
 
 Words are runs of ASCII letters and digits or of bytes above 127, lower-cased.
-The hashes of a template's word ``GRAM``-grams are winnowed: of every ``WINDOW``
-grams in a row the least (the last of equals) is a fingerprint, and an inverted
-index holds template and place of each.  Every gram of a document is looked up in
-the index, so that no stretch that holds a fingerprint can be missed.  Hits of a
+The hashes of all word ``GRAM``-grams of a template are its fingerprints, and an
+inverted index holds template and place of each; templates of fewer than
+``FEW`` words have pairs of words instead.  Where at most a fifth of a template's
+words are changed, a run of that many is left, so that no such match is missed.
+Every gram of a document is looked up in the index.  Hits of a
 template whose diagonals lie within the band and which are near each other make a
 candidate window; template and window are aligned there by a banded local
 alignment (a match +2, anything else -1), which gives the matched words, the
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from .common import Hasher, lowered, mix, text_slices
 
 _U = np.uint64
-GRAM, WINDOW = 3, 4
+GRAM, FEW = 3, 6
 _STEP = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9]
 
 # Public licence notices, as their publishers word them.
@@ -73,34 +74,22 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, np.flatnonzero(tail) + 1, np.searchsorted(starts, offsets)
 
 
-def grams_of(w: np.ndarray) -> np.ndarray:
-    count = max(0, len(w) - GRAM + 1)
+def grams_of(w: np.ndarray, size: int) -> np.ndarray:
+    count = max(0, len(w) - size + 1)
     out = np.zeros(count, _U)
-    for j in range(GRAM):
+    for j in range(size):
         out += w[j : j + count] * _U(_STEP[j])
     return mix(out)
 
 
-def winnow(grams: np.ndarray) -> list[int]:
-    """Places of the fingerprints."""
-    chosen: list[int] = []
-    width = min(WINDOW, len(grams))
-    for lo in range(len(grams) - width + 1):
-        window = grams[lo : lo + width]
-        at = lo + int(np.flatnonzero(window == window.min())[-1])
-        if not chosen or chosen[-1] != at:
-            chosen.append(at)
-    return chosen
-
-
 class Index:
-    """The templates' words and the inverted index of their fingerprints."""
+    """The templates' words and the inverted indices of their grams, by size."""
 
     def __init__(self, templates: Sequence[tuple[str, str]]) -> None:
         self.hasher = Hasher()
         self.names = [n for n, _ in templates]
         self.words: list[np.ndarray] = []
-        postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        postings: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
         for t, (name, text) in enumerate(templates):
             data = lowered(np.frombuffer(text.encode(), np.uint8))
             starts, ends, _ = word_spans(data, np.array([0, len(data)]))
@@ -108,17 +97,18 @@ class Index:
             if len(w) < GRAM:
                 raise ValueError(f"a template of fewer than {GRAM} words: {name}")
             self.words.append(w)
-            grams = grams_of(w)
-            for at in winnow(grams):
-                postings[int(grams[at])].append((t, at))
-        self.keys = np.array(sorted(postings), _U)
-        self.postings = [postings[int(k)] for k in self.keys]
+            size = GRAM if len(w) >= FEW else GRAM - 1
+            for at, gram in enumerate(grams_of(w, size).tolist()):
+                postings[size][gram].append((t, at))
+        self.keys = {size: np.array(sorted(by), _U) for size, by in postings.items()}
+        self.postings = {size: [by[k] for k in sorted(by)] for size, by in postings.items()}
 
-    def hits(self, grams: np.ndarray) -> np.ndarray:
+    def hits(self, grams: np.ndarray, size: int) -> np.ndarray:
         """Places among ``grams`` that are in the index."""
-        at = np.searchsorted(self.keys, grams)
-        at[at == len(self.keys)] = 0
-        return np.flatnonzero(self.keys[at] == grams)
+        keys = self.keys[size]
+        at = np.searchsorted(keys, grams)
+        at[at == len(keys)] = 0
+        return np.flatnonzero(keys[at] == grams)
 
 
 def align(t: np.ndarray, d: np.ndarray, shift: int, band: int) -> tuple[int, int, int]:
@@ -167,12 +157,13 @@ def windows(hits: list[tuple[int, int]], band: int) -> Iterator[tuple[int, int]]
     yield from by
 
 
-def matches(index: Index, w: np.ndarray, grams: np.ndarray, least: float) -> list[tuple[int, int, float, int, int]]:
+def matches(index: Index, w: np.ndarray, grams: dict[int, np.ndarray], least: float) -> list[tuple[int, int, float, int, int]]:
     """(template, matched, coverage, first and last word + 1) of a document."""
     by: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for place in index.hits(grams).tolist():
-        for t, at in index.postings[int(np.searchsorted(index.keys, grams[place]))]:
-            by[t].append((place, at))
+    for size, own in grams.items():
+        for place in index.hits(own, size).tolist():
+            for t, at in index.postings[size][int(np.searchsorted(index.keys[size], own[place]))]:
+                by[t].append((place, at))
     found = []
     for t, hits in by.items():
         words = index.words[t]
@@ -205,13 +196,13 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, id_c
             for lo, _, data, offsets in text_slices(batch.column(1)):
                 starts, ends, first = word_spans(data, offsets)
                 w = index.hasher.ranges(lowered(data), starts, ends)
-                grams = grams_of(w)
-                hits = index.hits(grams)
+                grams = {size: grams_of(w, size) for size in index.keys}
+                hits = np.concatenate([np.zeros(0, np.int64), *(index.hits(g, size) for size, g in grams.items())])
                 rows = np.unique(np.searchsorted(first, hits, side="right") - 1)
                 out: list[tuple] = []
                 for r in rows.tolist():
                     a, b = first[r], first[r + 1]
-                    own = grams[a : max(a, b - GRAM + 1)]
+                    own = {size: g[a : max(a, b - size + 1)] for size, g in grams.items()}
                     for t, matched, coverage, x, y in matches(index, w[a:b], own, least):
                         begin = offsets[r]
                         # Characters are the bytes that do not continue one.

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import struct
 
 import public_tokenizers
@@ -157,6 +158,20 @@ def test_licences(spark):
     assert license_scan.scan(spark.createDataFrame([], DOCS)).collect() == []
 
 
+def test_licences_with_every_fifth_word_changed(spark):
+    """The coverage decides whether a template is found, not its fingerprints."""
+    for name, text in license_scan.TEMPLATES:
+        words = re.findall(r"[A-Za-z0-9]+", text)
+        rows, left = [], len(words) - len(words) // 5
+        for first in range(5):
+            changed = words.copy()
+            for i in range(first, len(words), 5)[: len(words) // 5]:
+                changed[i] = "zzz"
+            rows.append((first, "Some words before. " + " ".join(changed) + ", and behind"))
+        got = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), ((name, text),)).collect()
+        assert sorted((r["doc_id"], r["matched_words"]) for r in got) == [(i, left) for i in range(5)], name
+
+
 def test_licence_hits_equal_a_search_for_the_words(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet")
     got = {(r["doc_id"], r["license"]) for r in license_scan.scan(docs).collect()}
