@@ -24,7 +24,7 @@ def admitted(href: Column, target: Column, root: str) -> Column:
     return ~F.contains(href, F.lit("#")) & target.startswith(root) & ~odd
 
 
-def crawl(pages: DataFrame, start: Sequence[str], root: str, max_seen: int = 50_000, max_items: int | None = None, rounds: int = 50) -> DataFrame:
+def crawl(pages: DataFrame, start: Sequence[str], root: str, max_seen: int = 50_000, max_items: int | None = None) -> DataFrame:
     """(url, depth) of the pages reached from ``start``.
 
     Each round joins the frontier with the link table and keeps the targets not
@@ -36,7 +36,9 @@ def crawl(pages: DataFrame, start: Sequence[str], root: str, max_seen: int = 50_
     edges = stored(edges.where(admitted(F.col("href"), F.col("target"), root)).select("url", "target").distinct())
     frontier = spark.createDataFrame([(u,) for u in start], "url string").distinct().withColumn("depth", F.lit(0))
     seen = frontier
-    for depth in range(1, rounds + 1):
+    depth = 0
+    while True:
+        depth += 1
         html = frontier.where(F.col("url").endswith(".html") | (F.col("depth") == 0))
         found = html.select("url").join(edges, "url").select(F.col("target").alias("url")).distinct()
         frontier = stored(found.join(seen, "url", "left_anti").withColumn("depth", F.lit(depth)))
