@@ -28,5 +28,16 @@ def normalised(v: Column, n: Column | None = None) -> Column:
     return F.transform(v, lambda x: x / (n + F.lit(1e-8)))
 
 
+def usable(v: Column) -> Column:
+    """Whether a vector is there and all its components are finite."""
+    odd = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    return v.isNotNull() & ~F.coalesce(F.exists(v, odd), F.lit(True))
+
+
+def padded(v: Column, width: int) -> Column:
+    """``v`` with zeros behind it, ``width`` components in all."""
+    return F.concat(v, F.array_repeat(F.lit(0.0), F.greatest(F.lit(width) - F.size(v), F.lit(0))))
+
+
 def distance_score(d: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + d)
