@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import lower_words
+from ..sources.scratch import stored
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -46,11 +47,12 @@ def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def scores(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", query_id: str = "item_id", query_text: str = "text") -> DataFrame:
     """(query_id, doc_id, score) of the documents that share a word with the
-    query.  Only words that some query has are counted in documents: the query
-    vocabulary reduces the tokens before anything is shuffled."""
-    tokens = tokenised(docs, doc_id, doc_text)
+    query.  Texts are cut into words once, and what was cut is written out.  Only
+    words that some query has are counted in documents: the query vocabulary
+    reduces the tokens before anything is shuffled."""
+    tokens = stored(tokenised(docs, doc_id, doc_text))
     total = totals(tokens)
-    terms = query_terms(queries, query_id, query_text)
+    terms = stored(query_terms(queries, query_id, query_text))
     wanted = terms.select("term").distinct()
     weights = idf(document_frequencies(tokens), total).join(wanted, "term")
     tf = tokens.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
@@ -70,5 +72,6 @@ def top_k(scored: DataFrame, k: int, digits: int = 6) -> DataFrame:
 
 def normalised(scored: DataFrame) -> DataFrame:
     """Scores divided by the query's largest, where that is over 0."""
-    most = F.max("score").over(Window.partitionBy("query_id"))
-    return scored.withColumn("score", F.when(most > 0, F.col("score") / most).otherwise(F.col("score")))
+    scored = stored(scored)
+    most = scored.groupBy("query_id").agg(F.max("score").alias("most_"))
+    return scored.join(most, "query_id").withColumn("score", F.when(F.col("most_") > 0, F.col("score") / F.col("most_")).otherwise(F.col("score"))).drop("most_")

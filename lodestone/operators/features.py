@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
+
 # English function words, the default stop list.
 STOP_WORDS = tuple(
     "a about above after again all also am an and any are as at be because been before being below between both but by can could did do does "
@@ -25,32 +27,59 @@ def ngrams(text: Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:
     return F.concat(words, pairs)
 
 
-def tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", features: int = 768, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
-    """(id, term, term_index, weight): rows of length 1 over the ``features`` most
-    frequent terms of the corpus, ties to the smaller term."""
-    terms = docs.select(F.col(id_col).alias("id"), F.explode(ngrams(F.coalesce(F.col(text_col), F.lit("")), stop_words)).alias("term"))
-    tf = terms.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    top = tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df")).orderBy(F.col("total").desc(), "term").limit(features)
-    # At most ``features`` rows: the window and the broadcast are that small.
-    vocabulary = top.withColumn("term_index", F.row_number().over(Window.orderBy("term")) - 1)
+def _terms(docs: DataFrame, id_col: str, text_col: str, name: str, stop_words: Sequence[str]) -> DataFrame:
+    return docs.select(F.col(id_col).alias(name), F.explode(ngrams(F.coalesce(F.col(text_col), F.lit("")), stop_words)).alias("term"))
+
+
+def fit_tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", features: int = 768, stop_words: Sequence[str] = STOP_WORDS) -> tuple[DataFrame, DataFrame]:
+    """(id, term, tf) of the terms that are features, and the vocabulary (term,
+    term_index, idf): the ``features`` most frequent terms of the corpus, ties to
+    the smaller term.  Terms are counted over partial sums; only those of the
+    vocabulary are shuffled with their documents."""
+    terms = _terms(docs, id_col, text_col, "id", stop_words)
+    top = stored(terms.groupBy("term").agg(F.count(F.lit(1)).alias("total")).orderBy(F.col("total").desc(), "term").limit(features).select("term"))
+    # At most ``features`` rows: the window and the broadcasts are that small.
+    tf = stored(terms.join(F.broadcast(top), "term").groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf")))
     n = docs.agg(F.count(F.lit(1)).alias("n"))
     idf = F.log((F.lit(1) + F.col("n")) / (F.lit(1) + F.col("df"))) + 1
-    weighed = tf.join(F.broadcast(vocabulary.crossJoin(n)), "term").withColumn("w", F.col("tf") * idf)
-    lengths = weighed.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    return weighed.join(lengths, "id").select("id", "term", F.col("term_index").cast("int"), (F.col("w") / F.col("length")).alias("weight"), idf.alias("idf"))
+    rows = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n))  # one row on the right
+    index = F.row_number().over(Window.orderBy("term")) - 1
+    return tf, stored(rows.select("term", index.cast("int").alias("term_index"), idf.alias("idf")))
 
 
-def tfidf_scores(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", query_id: str = "item_id", text_col: str = "text", **settings) -> DataFrame:
+def weighed(tf: DataFrame, vocabulary: DataFrame, by: str) -> DataFrame:
+    """(by, term, term_index, weight) with rows of length 1."""
+    rows = tf.join(F.broadcast(vocabulary), "term").withColumn("w", F.col("tf") * F.col("idf"))
+    rows = rows.groupBy(by).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"), F.collect_list(F.struct("term", "term_index", "w")).alias("all"))  # a row's features
+    return rows.select(by, "length", F.inline("all")).select(by, "term", "term_index", (F.col("w") / F.col("length")).alias("weight"))
+
+
+def tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", features: int = 768, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
+    """(id, term, term_index, weight) of every document."""
+    return weighed(*fit_tfidf(docs, id_col, text_col, features, stop_words), "id")
+
+
+def tfidf_scores(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", query_id: str = "item_id", text_col: str = "text", features: int = 768, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
     """(query_id, doc_id, score) by the product of the weights; queries are
     weighed with the corpus' vocabulary and idf."""
-    vectors = tfidf(docs, id_col, text_col, **settings)
-    idf = vectors.groupBy("term").agg(F.max("idf").alias("idf"))
-    stop = settings.get("stop_words", STOP_WORDS)
-    terms = queries.select(F.col(query_id).alias("query_id"), F.explode(ngrams(F.col(text_col), stop)).alias("term"))
-    q = terms.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("tf")).join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    lengths = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    q = q.join(lengths, "query_id").select("query_id", "term", (F.col("w") / F.col("length")).alias("qw"))
-    return vectors.join(q, "term").groupBy("query_id", F.col("id").alias("doc_id")).agg(F.sum(F.col("weight") * F.col("qw")).alias("score"))
+    tf, vocabulary = fit_tfidf(docs, id_col, text_col, features, stop_words)
+    terms = _terms(queries, query_id, text_col, "query_id", stop_words).join(F.broadcast(vocabulary.select("term")), "term")
+    q = weighed(terms.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("tf")), vocabulary, "query_id")
+    q = q.select("query_id", "term", F.col("weight").alias("qw"))
+    return weighed(tf, vocabulary, "id").join(q, "term").groupBy("query_id", F.col("id").alias("doc_id")).agg(F.sum(F.col("weight") * F.col("qw")).alias("score"))
+
+
+def unit(vectors: Column) -> Column:
+    """Vectors at length 1; one of zeros stays."""
+    norm = F.sqrt(F.aggregate(vectors, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return F.transform(vectors, lambda x: F.when(norm > 0, x / norm).otherwise(x).cast("float"))
+
+
+def encode(text: Column, model: Callable[[Column], Column], most: int = 512, normalise: bool = True) -> Column:
+    """Dense vectors of texts by an ``encoder``: the text's first ``most`` words,
+    128 for queries by convention, then the model, then the norm."""
+    first = F.array_join(F.slice(F.split(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")), " "), 1, most), " ")
+    return unit(model(first)) if normalise else model(first)
 
 
 def encoder(load: Callable[[], Callable[[list[str]], list[list[float]]]], batch: int = 32) -> Callable[[Column], Column]:
