@@ -145,7 +145,7 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "j")).count() == 2
     sinks.index_tables({"t": df}, str(tmp_path / "i"))
     sinks.upsert(df.where("id = 1").withColumn("v", F.lit("new")), str(tmp_path / "i/t"), "id")
-    assert {(r["id"], r["v"]) for r in spark.read.parquet(str(tmp_path / "i/t")).collect()} == {(1, "new"), (2, "b")}
+    assert {(r["id"], r["v"]) for r in sinks.read_table(spark, str(tmp_path / "i/t")).collect()} == {(1, "new"), (2, "b")}
     page = sinks.html_page(spark.createDataFrame([(0, "<T>", "a & b")], "index long, title string, text string"))
     assert 'id="entry-0"' in page and "&lt;T&gt;" in page and "a &amp; b" in page and '#entry-1"' in page
 
@@ -155,5 +155,5 @@ def test_stream_append_is_idempotent(spark, tmp_path):
     for checkpoint in ("c1", "c2"):  # the second run repeats the first batch
         stream = spark.readStream.schema("doc_id long, text string").parquet(str(tmp_path / "in"))
         append_documents(stream, str(tmp_path / "index"), str(tmp_path / checkpoint)).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "index/documents")).count() == 2
-    assert spark.read.parquet(str(tmp_path / "index/postings")).count() == 3
+    assert sinks.read_table(spark, str(tmp_path / "index/documents")).count() == 2
+    assert sinks.read_table(spark, str(tmp_path / "index/postings")).count() == 3
