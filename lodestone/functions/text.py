@@ -126,7 +126,9 @@ def html_title(html: Column) -> Column:
 
 
 def html_links(html: Column) -> Column:
-    return F.regexp_extract_all(html, F.lit(r'(?i)<a\s[^>]*?href="([^"]*)"'), 1)
+    """The targets of all anchors, in double, single or no quotes."""
+    found = F.regexp_extract_all(html, F.lit(r"""(?i)<a\s[^>]*?\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""), 1)
+    return F.transform(found, lambda h: F.regexp_replace(h, r"""^["']|["']$""", ""))
 
 
 def contains_any(text: Column, parts: Sequence[str]) -> Column:
@@ -158,20 +160,40 @@ def rel_path(url: Column, root: str) -> Column:
     return F.regexp_replace(F.regexp_replace(rest, r"\.html$", ""), r"^/+|/+$", "")
 
 
+def source_url(rel: Column, root: str) -> Column:
+    """Where a page's source stands in a repository: its path below ``root``."""
+    return F.concat(F.lit(root.rstrip("/") + "/"), rel, F.lit(".rst"))
+
+
+def sources_txt_url(rel: Column, root: Column) -> Column:
+    """Where a documentation site keeps the copy of a page's source."""
+    return url_join(root, F.concat(F.lit("_sources/"), rel, F.lit(".rst.txt")))
+
+
+def _without_dots(path: Column) -> Column:
+    """A path that begins with a slash, its dot segments resolved."""
+    parts = F.slice(F.split(path, "/"), 2, 1 << 30)
+    step = lambda out, p: F.when(p == "..", F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0)))).when(p == ".", out).otherwise(F.concat(out, F.array(p)))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    folder = F.element_at(parts, -1).isin(".", "..") & (F.size(kept) > 0)
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(folder, F.lit("/")).otherwise(F.lit("")))
+
+
 def url_join(base: Column, link: Column) -> Column:
-    """A link against the page it stands on, without dot segments beyond ``./``
-    and ``../`` at its head."""
+    """A link against the page it stands on, its dot segments resolved."""
     origin = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
     scheme = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*:)", 1)
     path = F.regexp_extract(base, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    query = F.regexp_extract(base, r"^[^?#]*(\?[^#]*)", 1)
     folder = F.regexp_replace(path, r"[^/]*$", "")
-    up = F.regexp_replace(folder, r"[^/]+/$", "")
+    own = F.regexp_extract(link, r"^([^?#]*)", 1)
+    rest = F.regexp_extract(link, r"^[^?#]*((?s:.*))$", 1)
+    whole = F.when(own.startswith("/"), own).otherwise(F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), own))
     return (
         F.when(link.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), link)
         .when(link.startswith("//"), F.concat(scheme, link))
-        .when(link.startswith("/"), F.concat(origin, link))
-        .when(link.startswith("../"), F.concat(origin, F.when(up == "", F.lit("/")).otherwise(up), F.regexp_replace(link, r"^\.\./", "")))
-        .otherwise(F.concat(origin, F.when(folder == "", F.lit("/")).otherwise(folder), F.regexp_replace(link, r"^\./", "")))
+        .when(own == "", F.concat(origin, path, F.when(rest.startswith("?"), F.lit("")).otherwise(query), rest))
+        .otherwise(F.concat(origin, _without_dots(whole), rest))
     )
 
 
@@ -183,6 +205,12 @@ def display(title: Column, func_name: Column, short: Column, text: Column, path:
     return F.coalesce(*given, path, F.lit(""))
 
 
+def path_kept(path: Column, filters: Sequence[str]) -> Column:
+    """Whether a path holds one of the filters, backslashes read as slashes on
+    both sides; without filters every path does."""
+    return contains_any(normal_path(path), [f.replace("\\", "/") for f in filters]) if filters else F.lit(True)
+
+
 def path_excluded(path: Column, names: Sequence[str], include_tests: bool = False, substring: bool = False) -> Column:
     """Whether a repository path is left out: by whole path segments, or with
     ``substring`` anywhere in the path, as looser tools do."""

@@ -113,7 +113,30 @@ def union_corpora(datasets: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
+# The parts of a file's name that say which source it is of.
+KINDS = {"discussions.json": "discussions", "docs_cleaned.json": "docs", "src_filtered_data.json": "source"}
+
+
+def enrich_relevant(truth: DataFrame, sources: dict[str, DataFrame], key: str = "query") -> DataFrame:
+    """``truth`` with the text of each relevant document filled in from the source
+    that its ``file`` names, by ``index``.  ``sources``: by kind, tables of index
+    and text.  A document of no such file, or of an index that is not there, keeps
+    its text.  One join on (kind, index); the order of the documents stays."""
+    kind = lambda f: F.coalesce(*[F.when(F.contains(f, F.lit(part)), F.lit(name)) for part, name in KINDS.items()])
+    known = None
+    for name, df in sources.items():
+        rows = df.select(F.lit(name).alias("kind_"), F.col("index").cast("long").alias("index_"), F.col("text").alias("text_"))
+        known = rows if known is None else known.unionByName(rows)
+    docs = truth.select(key, F.posexplode("relevant_docs").alias("at_", "d_"))
+    docs = docs.withColumns({"kind_": kind(F.col("d_.file")), "index_": F.col("d_.index").cast("long")}).join(known, ["kind_", "index_"], "left")
+    full = docs.select(key, F.struct("at_", F.col("d_").withField("text", F.coalesce("text_", "d_.text")).alias("d")).alias("r"))
+    full = full.groupBy(key).agg(F.transform(F.sort_array(F.collect_list("r")), lambda r: r["d"]).alias("filled_"))  # a query's documents
+    return truth.join(full, key, "left").withColumn("relevant_docs", F.coalesce("filled_", "relevant_docs")).drop("filled_")
+
+
 def answered(threads: DataFrame, comments: str, answer: str, keywords: Sequence[str], first: int = 20) -> DataFrame:
-    """Threads with an answer and a keyword in one of their first comments."""
-    hit = F.exists(F.slice(comments, 1, first), lambda c: F.coalesce(F.lower(c).rlike("|".join(keywords)), F.lit(False)))
+    """Threads with an answer and a keyword, whatever its case, in one of their
+    first comments.  Keywords are plain text."""
+    named = lambda c: F.greatest(F.lit(False), *[F.contains(F.lower(c), F.lit(k.lower())) for k in keywords])
+    hit = F.exists(F.slice(comments, 1, first), lambda c: F.coalesce(named(c), F.lit(False)))
     return threads.where(F.col(answer).isNotNull() & F.coalesce(hit, F.lit(False)))

@@ -25,6 +25,15 @@ def fuse(dense: DataFrame, sparse: DataFrame | None, k: int = 5, alpha: float =
     return both.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "doc_id", "score", "rank")
 
 
+def dump(ranked: DataFrame, queries: DataFrame, docs: DataFrame, value: str = "distance") -> DataFrame:
+    """A row a query: query_id, query, and in rank order doc_ids, top_docs,
+    doc_links and distances.  ``docs``: doc_id, text, link."""
+    full = ranked.join(docs, "doc_id").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "doc_id", "text", "link", F.col(value).alias("far")))).alias("r"))
+    return queries.join(full, "query_id", "left").select(
+        "query_id", "query", *[F.coalesce(F.col(f"r.{c}"), F.array()).alias(name) for c, name in (("doc_id", "doc_ids"), ("text", "top_docs"), ("link", "doc_links"), ("far", "distances"))]
+    )
+
+
 def results(ranked: DataFrame, queries: DataFrame, docs: DataFrame, with_func_name: bool = True) -> DataFrame:
     """The result rows: query_id, query, query_type, retrieved_docs and scores in
     rank order.  ``docs``: doc_id, index, path, source_type, func_name, display;

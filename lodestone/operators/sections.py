@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import strip, word_count
+from ..functions.text import strip, url_kept, word_count
 
 _BEFORE = r"\n(?=[ \t\x0B\f\r]*##{1,2}[ \t\x0B\f\r]+[^\n]*\S)"
 _HEAD = r"^\s*#{2,3}\s+([^\n]*\S)"
@@ -32,6 +32,22 @@ def split_sections(docs: DataFrame, text_col: str = "text", index_col: str = "in
     return out.where((word_count(F.col("text")) >= min_words) & (F.length(strip(F.col("text"))) >= min_chars))
 
 
+def clean_outcomes(docs: DataFrame, url_col: str, text_col: str, excluded: list[str], code_blocks: str | None = None, min_words: int = 40) -> DataFrame:
+    """``docs`` with ``outcome``: url (filtered by it), short (too few words and
+    no code block) or kept."""
+    short = word_count(F.coalesce(F.col(text_col), F.lit(""))) < min_words
+    if code_blocks:
+        short &= F.coalesce(F.size(code_blocks), F.lit(0)) <= 0
+    kept = url_kept(F.coalesce(F.col(url_col), F.lit("")), excluded)
+    return docs.withColumn("outcome", F.when(~kept, F.lit("url")).when(short, F.lit("short")).otherwise(F.lit("kept")))
+
+
+def counters(outcomes: DataFrame) -> DataFrame:
+    """One row: how many were processed, kept, filtered by URL and by length."""
+    of = lambda o: F.count_if(F.col("outcome") == o)
+    return outcomes.agg(F.count(F.lit(1)).alias("processed"), of("kept").alias("kept"), of("url").alias("filtered_by_url"), of("short").alias("filtered_by_min_words"))
+
+
 def kept_docs(docs: DataFrame, text_col: str = "text", code_blocks: str | None = None, min_words: int = 40) -> DataFrame:
     """Documents of enough words, and any with a code block."""
     keep = word_count(F.col(text_col)) >= min_words

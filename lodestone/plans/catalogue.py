@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import code, docstrings, rst, text
 from ..functions import vectors as V
 from ..operators import bm25, corpus, evaluate, features, hybrid, knn, ordinals, sections
-from ..sources import crawl, sinks
-from . import oracle, samples
+from ..sources import crawl, readers, scratch, sinks
+from . import oracle, retrieval, samples
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL = oracle.SQL
@@ -62,7 +63,7 @@ def strip_orphans(spark, sf_dir):
 
 @query
 def title_sanitize(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id", text.sanitize_title(F.substring("text", 1, 200)).alias("title"))
+    return _t(spark, sf_dir, "documents").select("doc_id", text.sanitize_title(F.col("text")).alias("title"))
 
 
 @query
@@ -86,7 +87,7 @@ def display_string(spark, sf_dir):
 @query
 def viewer_search(spark, sf_dir):
     found = sinks.search(_t(spark, sf_dir, "documents").withColumnRenamed("source", "title"), "THAN")
-    return found.select("doc_id", text.html_escape(F.substring("text", 1, 300)).alias("escaped"))
+    return found.select("doc_id", text.html_escape(F.col("text")).alias("escaped"))
 
 
 @query
@@ -131,7 +132,7 @@ def crawl_frontier(spark, sf_dir):
 @query
 def source_fetch(spark, sf_dir):
     pages = _t(spark, sf_dir, "pages").select("page_id", F.col("page_id").cast("string").alias("url"))
-    docs = _t(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("url"), F.substring("text", 1, 40).alias("text"))
+    docs = _t(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("url"), "text")
     raw = docs.where(F.col("doc_id") % 2 == 0).select("url", F.when(F.col("doc_id") % 4 == 0, F.col("text")).otherwise(F.lit(" short ")).alias("text"))
     spare = docs.where(F.col("doc_id") % 3 == 0).select("url", "text")
     return crawl.with_sources(pages, raw, spare).drop("url")
@@ -178,10 +179,11 @@ def corpus_union(spark, sf_dir):
 
 @query
 def capped_corpus(spark, sf_dir):
-    number = lambda df, c: df.withColumn("ordinal", F.row_number().over(Window.partitionBy(F.floor(F.col(c) / 1_000_000_000)).orderBy(c)) - 1)
-    docs = number(_t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")), "id").withColumn("error", F.when(F.col("id") % 10 == 3, F.lit("bad")))
-    pages = number(_t(spark, sf_dir, "pages").select(F.col("page_id").alias("id")), "id").withColumn("error", F.lit(None).cast("string"))
-    return ordinals.capped_union([docs.where("ordinal < 100"), pages], 120).select("dataset", "id")
+    """All documents but those that fail to parse, then pages up to the cap."""
+    number = lambda t, c: ordinals.with_ordinal(_t(spark, sf_dir, t).select(F.col(c).alias("id")), [F.col("id")], "ordinal")
+    docs = number("documents", "doc_id").withColumn("error", F.when(F.col("id") % 10 == 3, F.lit("bad")))
+    pages = number("pages", "page_id").withColumn("error", F.lit(None).cast("string"))
+    return ordinals.capped_union([docs, pages], 1100).select("dataset", "id")
 
 
 @query
@@ -218,7 +220,7 @@ def structured_parse(spark, sf_dir):
     name = F.when(F.col("doc_id") % 5 == 0, F.lit("")).otherwise(F.concat(F.lit("fn_"), F.col("doc_id").cast("string")))
     old = F.concat(
         F.lit("--- Meta Data ---\nRepo: r\nPath: src\\"), "source", F.lit(".py\nFunction Name: "), name, F.lit("\nLanguage: python\n\n--- Docstring ---\n"),
-        F.substring("text", 1, 60), F.lit("\n\n--- Code ---\ndef f():\n    pass # "), "lang",
+        F.col("text"), F.lit("\n\n--- Code ---\ndef f():\n    pass # "), "lang",
     )
     rows = docs.select(F.col("doc_id").alias("index"), "source", old.alias("text"))
     return corpus.parse_source(rows).select("index", "path", "func_name", "docstring_summary", "text", "error")
@@ -286,8 +288,9 @@ def tfidf_topk(spark, sf_dir):
 
 
 def _asks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All vectors, and as queries those whose id is divisible by 50."""
     rows = _t(spark, sf_dir, "embeddings")
-    return rows, rows.where(F.col("vec_id") < 40)
+    return rows, rows.where(F.col("vec_id") % 50 == 0)
 
 
 @query
@@ -301,27 +304,21 @@ def knn_cosine(spark, sf_dir):
     return knn.exact(*_asks(spark, sf_dir), metric="cosine")
 
 
-def _all_asks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = _t(spark, sf_dir, "embeddings")
-    return rows, rows.where(F.col("vec_id") % 50 == 0)
-
-
 @query
 def knn_ivf(spark, sf_dir):
-    return knn.by_cells(*_all_asks(spark, sf_dir), recall=0.9).select("query_id", "doc_id", "distance", "rank")
+    return knn.by_cells(*_asks(spark, sf_dir), recall=0.9).select("query_id", "doc_id", "distance", "rank")
 
 
 @query
 def knn_lsh(spark, sf_dir):
-    return knn.by_hashing(*_all_asks(spark, sf_dir)).select("query_id", "doc_id", "distance", "rank")
+    return knn.by_hashing(*_asks(spark, sf_dir)).select("query_id", "doc_id", "distance", "rank")
 
 
 @query
 def hybrid_topk(spark, sf_dir):
-    """Documents and vectors of one id; it shows the mechanics, not quality."""
-    vectors = _t(spark, sf_dir, "embeddings")
-    docs = _t(spark, sf_dir, "documents").join(vectors.select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi")
-    items = _t(spark, sf_dir, "benchmark").join(vectors.select(F.col("vec_id").alias("item_id")), "item_id", "left_semi")
+    """All documents by BM25, those that have a vector of their id also by it;
+    it shows the mechanics, not quality."""
+    vectors, docs, items = (_t(spark, sf_dir, t) for t in ("embeddings", "documents", "benchmark"))
     rows = vectors.join(docs.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
     points = vectors.join(items.select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi")
     dense = knn.exact(rows, points, 10, "cosine")
@@ -338,17 +335,18 @@ def embedding_norms(spark, sf_dir):
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Nearest neighbours as results; of each query the vectors with its label
-    among ids up to 300 as the truth."""
+    """Nearest neighbours as results; the truth of a query are the vectors of its
+    label in its block of 500 ids."""
     rows, asks = _asks(spark, sf_dir)
     ranked = knn.exact(rows, asks, 10, "cosine")
     path = lambda c: F.concat(F.lit("v/"), c.cast("string"))
     docs = rows.select(F.col("vec_id").alias("doc_id"), F.col("vec_id").alias("index"), path(F.col("vec_id")).alias("path"), F.lit("docs").alias("source_type"), F.lit("").alias("func_name"), F.lit("").alias("display"))
     queries = asks.select(F.col("vec_id").alias("query_id"), F.concat(F.lit("q"), F.col("vec_id").cast("string")).alias("query"), F.concat(F.lit("t"), (F.col("vec_id") % 3).cast("string")).alias("query_type"))
     results = hybrid.results(ranked, queries, docs)
-    pool = rows.where("vec_id < 300").select("label", F.struct(F.lit(None).cast("string").alias("entry_filename"), path(F.col("vec_id")).alias("path"), F.col("vec_id").alias("index"), F.lit("").alias("func_name")).alias("d"))
-    pool = pool.groupBy("label").agg(F.sort_array(F.collect_list("d")).alias("relevant_docs"))  # 300 rows
-    truth = asks.join(pool, "label").select(F.concat(F.lit("q"), F.col("vec_id").cast("string")).alias("query"), "relevant_docs")
+    block = F.floor(F.col("vec_id") / 500).alias("block")
+    pool = rows.select("label", block, F.struct(F.lit(None).cast("string").alias("entry_filename"), path(F.col("vec_id")).alias("path"), F.col("vec_id").alias("index"), F.lit("").alias("func_name")).alias("d"))
+    pool = pool.groupBy("label", "block").agg(F.sort_array(F.collect_list("d")).alias("relevant_docs"))  # 500 rows at most
+    truth = asks.withColumn("block", block).join(pool, ["label", "block"]).select(F.concat(F.lit("q"), F.col("vec_id").cast("string")).alias("query"), "relevant_docs")
     return results, truth
 
 
@@ -403,16 +401,152 @@ def metadata_sample(spark, sf_dir):
 @query
 def entity_extract(spark, sf_dir):
     files = spark.createDataFrame(list(samples.SOURCES), "path string, content string")
-    return code.entities(files, "repo", "https://example.org/blob/main")
+    found = code.entities(files, "repo", "https://example.org/blob/main")
+    lists = ("code_tokens", "parent_classes", "decorators", "parameters")
+    plain = ("path", "func_name", "entity_type", "class_name", "class_docstring", "docstring_summary", "return_type", "start_line", "end_line", "complexity", "is_synthetic_docstring", "url")
+    return found.select(*plain, *[F.array_join(c, " ").alias(c) for c in lists])
 
 
 @query
 def entity_summary(spark, sf_dir):
     files = spark.createDataFrame(list(samples.SOURCES), "path string, content string")
-    return sinks.extraction_summary(code.entities(files, "repo", "https://example.org/blob/main")).select(F.to_json("entity_type_counts").alias("counts"), "classes")
+    entities = code.entities(files, "repo", "https://example.org/blob/main")
+    row = sinks.summary_row(entities, "repo", "out", {"min_lines": 1}, {"files": 3})
+    return row.withColumns({"entity_type_counts": F.to_json("entity_type_counts"), "classes": F.array_join("classes", " ")})
 
 
 @query
 def rst_clean(spark, sf_dir):
     docs = spark.createDataFrame(list(samples.RST), "id long, text string")
-    return docs.select("id", rst.clean_rst(F.col("text")).alias("r")).select("id", "r.text", "r.code_blocks")
+    blocks = F.transform("r.code_blocks", lambda b: F.concat(b["lang"], F.lit(":"), b["code"]))
+    return docs.select("id", rst.clean_rst(F.col("text")).alias("r")).select("id", "r.text", F.array_join(blocks, "|").alias("code_blocks"))
+
+
+# ------------------------------------------------------------ sources and sinks
+
+
+@query
+def paginated_discussions(spark, sf_dir):
+    """Conversations as pages of 100, newest first, up to the page that reaches
+    1,000."""
+    rows = _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"))
+    rows = ordinals.with_ordinal(rows, [-F.col("conv_id")], "at").withColumn("page", F.floor(F.col("at") / 100))
+    pages = rows.groupBy("page").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "conv_id", "turns"))), lambda r: F.struct(r["conv_id"], r["turns"])).alias("nodes"))  # 100 a page
+    found = readers.first_pages(pages.withColumn("has_next", F.lit(True)))
+    return found.select("ordinal", "page", F.col("node.conv_id").alias("conv_id"), F.col("node.turns").alias("turns"))
+
+
+@query
+def enriched_truth(spark, sf_dir):
+    """Each query's documents of three sources, by number, and one of none."""
+    docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("index"), F.concat("source", F.lit("\n"), "text").alias("text"))
+    pages = _t(spark, sf_dir, "pages").select(F.col("page_id").alias("index"), F.col("html").alias("text"))
+    turns = _t(spark, sf_dir, "conversations").where("turn = 0").select(F.col("conv_id").alias("index"), "text")
+    item = lambda file, i: F.struct(F.lit(file).alias("file"), i.alias("index"), F.lit("as it was").alias("text"))
+    n = F.col("item_id")
+    given = F.array(item("x/docs_cleaned.json", n), item("x/discussions.json", n * 2), item("y/src_filtered_data.json", n * 3), item("other.json", n))
+    truth = _t(spark, sf_dir, "benchmark").select(n.cast("string").alias("query"), given.alias("relevant_docs"))
+    full = corpus.enrich_relevant(truth, {"docs": docs, "discussions": turns, "source": pages})
+    return full.select("query", F.posexplode("relevant_docs").alias("place", "d")).select("query", "place", F.col("d.file").alias("file"), F.md5("d.text").alias("text_md5"))
+
+
+@query
+def output_path_filter(spark, sf_dir):
+    path = F.concat(F.lit("src\\"), "p_type", F.lit("/"), "p_name")
+    rows = _t(spark, sf_dir, "part").select("p_partkey", path.alias("path"))
+    return rows.where(text.path_kept(F.col("path"), ("src\\STANDARD", "BRASS"))).select("p_partkey")
+
+
+@query
+def source_urls(spark, sf_dir):
+    rel = text.rel_path(F.col("url"), "https://")
+    return _t(spark, sf_dir, "pages").select("page_id", text.source_url(rel, "https://raw.example.org/docs").alias("raw"), text.sources_txt_url(rel, F.lit("https://docs.example.org/stable/")).alias("txt"))
+
+
+@query
+def clean_counters(spark, sf_dir):
+    """Documents with code by number: the short ones of them are kept."""
+    blocks = F.when(F.col("doc_id") % 5 == 0, F.array(F.lit("code"))).otherwise(F.array().cast("array<string>"))
+    rows = _t(spark, sf_dir, "documents").withColumns({"blocks": blocks, "url": F.concat(F.lit("https://x/"), "source", F.lit("/"))})
+    return sections.counters(sections.clean_outcomes(rows, "url", "text", ["/SRC1/"], "blocks"))
+
+
+@query
+def kept_documents(spark, sf_dir):
+    blocks = F.when(F.col("doc_id") % 5 == 0, F.array(F.lit("code"))).otherwise(F.array().cast("array<string>"))
+    rows = _t(spark, sf_dir, "documents").withColumn("blocks", blocks)
+    labelled = ordinals.with_ordinal(sections.kept_docs(rows, "text", "blocks").select("doc_id"), [F.col("doc_id")])
+    return labelled.select("doc_id", "index", F.lit("docs").alias("label"), F.lit("docs_cleaned.json").alias("file"))
+
+
+@query
+def collection_created(spark, sf_dir):
+    """A collection that was there, dropped and made anew, then filled twice."""
+    path = f"{scratch.folder(spark)}/collection"
+    rows = _t(spark, sf_dir, "embeddings")
+    sinks.create_collection(spark, path, 8, "L2")
+    sinks.create_collection(spark, path, 64, "COSINE")
+    sinks.upsert(rows.select("vec_id", F.lit("first").alias("v")), path, "vec_id")
+    sinks.upsert(rows.where("vec_id % 3 = 0").select("vec_id", F.lit("second").alias("v")), path, "vec_id")
+    counts = sinks.read_table(spark, path).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    return counts.crossJoin(sinks.collection(spark, path))  # one row on the right
+
+
+@query
+def json_lines_round_trip(spark, sf_dir):
+    path = f"{scratch.folder(spark)}/lines-{uuid.uuid4().hex}"
+    sinks.json_lines(_t(spark, sf_dir, "documents").select("doc_id", "text", "lang"), path, "lang")
+    rows = readers.json_lines(spark, f"{path}/*", "doc_id long, text string")
+    return rows.where("NOT malformed").select("row.doc_id", F.md5("row.text").alias("text_md5"))
+
+
+@query
+def json_array_round_trip(spark, sf_dir):
+    path = f"{scratch.folder(spark)}/array-{uuid.uuid4().hex}.json"
+    sinks.json_array(_t(spark, sf_dir, "pages").select("page_id", "url", "html"), path, "page_id")
+    rows = readers.json_array(spark, path, "page_id long, url string, html string")
+    return rows.select("page_id", "url", F.md5("html").alias("html_md5"))
+
+
+@query
+def requests_loaded(spark, sf_dir):
+    """Two files of requests, objects and bare strings, numbered through."""
+    path = f"{scratch.folder(spark)}/requests-{uuid.uuid4().hex}"
+    items = _t(spark, sf_dir, "benchmark")
+    sinks.json_array(items.select("item_id", F.col("text").alias("query"), F.lit("docs").alias("type")), f"{path}/a.json", "item_id")
+    sinks.json_array(items.select("item_id", F.col("text").alias("query"), F.lit("code").alias("query_type"), F.lit("docs").alias("type")), f"{path}/b.json", "item_id")
+    return readers.requests(spark, path)
+
+
+@query
+def result_dump(spark, sf_dir):
+    rows, asks = _asks(spark, sf_dir)
+    docs = rows.select(F.col("vec_id").alias("doc_id"), F.concat(F.lit("v"), "vec_id").alias("text"), F.concat(F.lit("https://x/"), "vec_id").alias("link"))
+    queries = asks.select(F.col("vec_id").alias("query_id"), F.concat(F.lit("q"), "vec_id").alias("query"))
+    out = hybrid.dump(knn.exact(rows, asks), queries, docs)
+    total = F.aggregate("distances", F.lit(0.0), lambda s, x: s + x)
+    return out.select("query_id", "query", *[F.array_join(F.col(c).cast("array<string>"), " ").alias(c) for c in ("doc_ids", "top_docs", "doc_links")], F.round(total, 5).alias("total"))
+
+
+@query
+def eval_report(spark, sf_dir):
+    """The report with a latency that follows from the query's number."""
+    results, truth = _judged(spark, sf_dir)
+    results = results.withColumn("latency", (F.col("query_id") % 7) / F.lit(8.0))
+    return sinks.report_lines(evaluate.aggregates(evaluate.per_query(results, truth)))
+
+
+@query
+def eval_latency(spark, sf_dir):
+    results, truth = _judged(spark, sf_dir)
+    results = results.withColumn("latency", (F.col("query_id") % 7) / F.lit(8.0))
+    return evaluate.aggregates(evaluate.per_query(results, truth)).select("query_type", F.round("latency_mean", 6).alias("mean"), F.round("latency_std", 6).alias("std"))
+
+
+@query
+def retrieved_with_latency(spark, sf_dir):
+    """What the lifecycle returns; of the measured time only that it is there."""
+    docs = corpus.parse(_t(spark, sf_dir, "documents").select(F.col("doc_id").alias("index"), F.col("source").alias("file"), "text"), None).withColumn("doc_id", F.col("index"))
+    queries = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.lit("docs").alias("query_type"))
+    results, _ = retrieval.retrieve(docs, queries, k=5)
+    return results.select("query_id", F.array_join(F.transform("retrieved_docs", lambda d: d["index"].cast("string")), " ").alias("found"), (F.col("latency") > 0).alias("timed"))

@@ -53,7 +53,7 @@ SELECT doc_id, regexp_replace(array_to_string([c[i] FOR i IN range(1, len(c) + 1
 
 SQL["strip_orphans"] = r"SELECT doc_id, chr(10) || text || chr(10) || 'end' AS clean FROM documents"
 
-SQL["title_sanitize"] = r"SELECT doc_id, trim(regexp_replace(regexp_replace(substr(text, 1, 200), '[^\x00-\x7F]', '', 'g'), '\s+', ' ', 'g')) AS title FROM documents"
+SQL["title_sanitize"] = r"SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[^\x00-\x7F]', '', 'g'), '\s+', ' ', 'g')) AS title FROM documents"
 
 SQL["code_tokenize_text"] = r"""
 WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}_]+')[1:512] AS t FROM documents)
@@ -71,7 +71,7 @@ SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND source <> '' THEN source WHEN doc_id
 """
 
 _escape = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
-SQL["viewer_search"] = f"SELECT doc_id, {_escape.format('substr(text, 1, 300)')} AS escaped FROM documents WHERE contains(lower(source || ' ' || text), 'than')"
+SQL["viewer_search"] = f"SELECT doc_id, {_escape.format('text')} AS escaped FROM documents WHERE contains(lower(source || ' ' || text), 'than')"
 
 SQL["html_cards"] = f"""
 SELECT doc_id, '<article class="entry" id="entry-' || doc_id || '"><h2>' || {_escape.format("source")} || '</h2><pre>' || {_escape.format("text")}
@@ -117,7 +117,7 @@ SELECT 'https://site.example/' || n || '.html' AS url, CAST(depth AS INTEGER) AS
 """
 
 SQL["source_fetch"] = r"""
-WITH d AS (SELECT doc_id, substr(text, 1, 40) AS t FROM documents),
+WITH d AS (SELECT doc_id, text AS t FROM documents),
 raw AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN t ELSE ' short ' END AS t FROM d WHERE doc_id % 2 = 0),
 j AS (
   SELECT p.page_id, raw.t AS rst, s.t AS other, length(regexp_replace(coalesce(raw.t, ''), '^\s+|\s+$', '', 'g')) < 10 AS poor,
@@ -155,9 +155,9 @@ UNION ALL SELECT 2, conv_id * 1000 + turn, 'discussion', role, role,
 """
 
 SQL["capped_corpus"] = """
-WITH d AS (SELECT doc_id AS id FROM documents ORDER BY doc_id LIMIT 100), g AS (SELECT id FROM d WHERE id % 10 <> 3)
+WITH d AS (SELECT doc_id AS id FROM documents ORDER BY doc_id LIMIT 1100), g AS (SELECT id FROM d WHERE id % 10 <> 3)
 SELECT CAST(0 AS INTEGER) AS dataset, id FROM g
-UNION ALL SELECT 1, page_id FROM (SELECT page_id, row_number() OVER (ORDER BY page_id) AS n FROM pages) WHERE n <= 120 - (SELECT count(*) FROM g)
+UNION ALL SELECT 1, page_id FROM (SELECT page_id, row_number() OVER (ORDER BY page_id) AS n FROM pages) WHERE n <= 1100 - (SELECT count(*) FROM g)
 """
 
 SQL["dataset_split"] = """
@@ -194,7 +194,7 @@ SELECT p_partkey, trim(regexp_replace(name, '([A-Z])', ' \1', 'g')) || CASE {_ki
 
 SQL["structured_parse"] = r"""
 WITH s AS (
-  SELECT doc_id, source, lang, regexp_replace(substr(text, 1, 60), '^\s+|\s+$', '', 'g') AS doc, CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'fn_' || doc_id END AS name FROM documents
+  SELECT doc_id, source, lang, regexp_replace(text, '^\s+|\s+$', '', 'g') AS doc, CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'fn_' || doc_id END AS name FROM documents
 ), n AS (
   SELECT *, CASE WHEN name = '' THEN 'Language: python' ELSE name END AS fn FROM s
 ), b AS (
@@ -272,23 +272,22 @@ _VEC = "v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embedd
 SQL["knn_l2"] = f"""
 WITH {_VEC}, d AS (
   SELECT q.vec_id AS query_id, c.vec_id AS doc_id, round(list_sum([(q.v[i] - c.v[i]) * (q.v[i] - c.v[i]) FOR i IN range(1, len(q.v) + 1)]), 6) AS distance
-  FROM v q JOIN v c ON q.vec_id < 40
+  FROM v q JOIN v c ON q.vec_id % 50 = 0
 )
 SELECT query_id, doc_id, distance, round(1.0 / (1.0 + distance), 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id) AS INTEGER) AS rank FROM d QUALIFY rank <= 5
 """
 _COS = """cs AS (
   SELECT q.vec_id AS query_id, c.vec_id AS doc_id,
     round(list_sum([q.v[i] * c.v[i] FOR i IN range(1, len(q.v) + 1)]) / ((sqrt(list_sum([x * x FOR x IN q.v])) + 1e-8) * (sqrt(list_sum([x * x FOR x IN c.v])) + 1e-8)), 6) AS score
-  FROM v q JOIN v c ON q.vec_id < 40
+  FROM v q JOIN v c ON q.vec_id % 50 = 0
 )"""
 SQL["knn_cosine"] = f"WITH {_VEC}, {_COS} SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM cs QUALIFY rank <= 5"
 
 SQL["hybrid_topk"] = f"""
-WITH dd AS (SELECT * FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)), bb AS (SELECT * FROM benchmark WHERE item_id IN (SELECT vec_id FROM embeddings)),
-{_BM25.replace("FROM documents", "FROM dd").replace("FROM benchmark", "FROM bb")},
+WITH {_BM25},
 z AS (SELECT query_id, doc_id, CASE WHEN max(score) OVER (PARTITION BY query_id) > 0 THEN score / max(score) OVER (PARTITION BY query_id) ELSE score END AS s FROM s),
 v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-{_COS.replace("JOIN v c ON q.vec_id < 40", "JOIN v c ON q.vec_id IN (SELECT item_id FROM bb) AND c.vec_id IN (SELECT doc_id FROM dd)")},
+{_COS.replace("JOIN v c ON q.vec_id % 50 = 0", "JOIN v c ON q.vec_id IN (SELECT item_id FROM benchmark) AND c.vec_id IN (SELECT doc_id FROM documents)")},
 den AS (SELECT query_id, doc_id, score AS d, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM cs QUALIFY r <= 10),
 b AS (SELECT query_id, doc_id, d, r, s FROM den FULL JOIN z USING (query_id, doc_id)),
 o AS (SELECT query_id, doc_id, r, round(0.7 * coalesce(d, 0) + (1 - 0.7) * coalesce(s, 0), 6) AS score FROM b WHERE r IS NOT NULL OR s > 0.1)
@@ -301,10 +300,10 @@ _at = lambda k: f"""sum(h) FILTER (rank <= {k}) / {k}.0 AS precision_at_{k}, sum
   sum(h / log2(rank + 1.0)) FILTER (rank <= {k}) / list_sum([1.0 / log2(i + 1.0) FOR i IN range(1, CAST(least(max(n_rel), {k}) AS BIGINT) + 1)]) AS ndcg_at_{k}"""
 _EVAL = f"""{_VEC}, {_COS},
 top AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM cs QUALIFY rank <= 10),
-rel AS (SELECT label, count(*) AS n_rel FROM v WHERE vec_id < 300 GROUP BY label),
+rel AS (SELECT label, vec_id // 500 AS block, count(*) AS n_rel FROM v GROUP BY ALL),
 hit AS (
-  SELECT t.query_id, t.rank, CAST(c.vec_id < 300 AND c.label = q.label AS INTEGER) AS h, n_rel
-  FROM top t JOIN v q ON q.vec_id = t.query_id JOIN v c ON c.vec_id = t.doc_id JOIN rel ON rel.label = q.label
+  SELECT t.query_id, t.rank, CAST(c.vec_id // 500 = q.vec_id // 500 AND c.label = q.label AS INTEGER) AS h, n_rel
+  FROM top t JOIN v q ON q.vec_id = t.query_id JOIN v c ON c.vec_id = t.doc_id JOIN rel ON rel.label = q.label AND rel.block = q.vec_id // 500
 ), run AS (SELECT *, sum(h) OVER (PARTITION BY query_id ORDER BY rank) AS so_far FROM hit),
 m AS (
   SELECT query_id, 't' || (query_id % 3) AS query_type, count(*) AS n_retrieved, max(n_rel) AS n_relevant, {_at(1)}, {_at(5)}, {_at(10)},
@@ -321,3 +320,97 @@ SQL["gt_last_wins"] = "SELECT 'q' || (doc_id % 50) AS query, doc_id, quality, to
 SQL["skipped_queries"] = "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0)"
 SQL["type_distribution"] = "SELECT role AS query_type, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS share FROM conversations GROUP BY role"
 SQL["metadata_sample"] = "SELECT doc_id, lang, source, (SELECT count(*) FROM documents) AS n_docs FROM documents ORDER BY doc_id LIMIT 100"
+
+# What the literal inputs give, written down row by row.
+SQL["rst_clean"] = """
+SELECT * FROM (VALUES
+  (CAST(0 AS BIGINT), '### Title' || chr(10) || chr(10) || 'Text with Foo and x .', ''),
+  (1, '###### Sub' || chr(10) || chr(10) || '### a', ''),
+  (2, 'body' || chr(10) || 'end', ''),
+  (3, '```python' || chr(10) || 'x = 1' || chr(10) || '```' || chr(10) || 'after:' || chr(10) || '```' || chr(10) || chr(10) || 'literal' || chr(10) || '```' || chr(10) || 'end',
+   'python:x = 1|text:' || chr(10) || 'literal'),
+  (4, '### Over' || chr(10) || chr(10) || 'last lit', ''),
+  (5, '', '')
+) t(id, text, code_blocks)
+"""
+_MAKE = "def make ( x , * , y : int = 1 ) - > int : if x and y or os : return 1 return 2"
+_SIZE = "def size ( self ) : return [ i for i in range ( 3 ) ]"
+_RUN = "def run ( self , a , b = ( 1 , 2 ) , * args , * * kw ) : STR def inner ( ) : pass for x in a : with b : pass"
+_GO = "def go ( self ) : return STR"
+_NESTED = f"class Nested ( Base , abc . ABC ) : {_GO}"
+_ROWS = (  # func_name, entity_type, class_name, class_docstring, summary, return_type, lines, complexity, synthetic, tokens, parents, decorators, parameters
+    ("Base", "class", None, None, "A base class of all.", None, 4, 30, 1, False, f"class Base ( object ) : STR @ staticmethod {_MAKE} @ property {_SIZE} {_RUN} {_NESTED}", "object", "", ""),
+    ("Base.make", "static_method", "Base", "A base class of all.", "Creates the operation. Takes parameters: x, y. Method of Base.", "int", 8, 11, 4, True, _MAKE, "object", "@staticmethod", "x y"),
+    ("Base.size", "property", "Base", "A base class of all.", "Property that returns the size.", None, 14, 15, 1, True, _SIZE, "object", "@property", ""),
+    ("Base.run", "method", "Base", "A base class of all.", "Runs it all.", None, 17, 26, 3, False, _RUN, "object", "", "a b args kw"),
+    ("Nested", "class", None, None, "Nested class. Inherits from: Base, abc.ABC.", None, 28, 30, 1, True, _NESTED, "Base abc.ABC", "", ""),
+    ("Nested.go", "method", "Nested", "", "Performs go operation. Method of Nested.", None, 29, 30, 1, True, _GO, "Base abc.ABC", "", ""),
+    ("late", "function", None, None, "Performs late operation.", None, 34, 35, 1, True, "async def late ( ) : STR", "", "", ""),
+)
+SQL["entity_extract"] = f"""
+SELECT 'pkg/a.py' AS path, func_name, entity_type, class_name, class_docstring, docstring_summary, return_type, CAST(start_line AS INTEGER) AS start_line,
+  CAST(end_line AS INTEGER) AS end_line, CAST(complexity AS INTEGER) AS complexity, is_synthetic_docstring, 'https://example.org/blob/main/pkg/a.py#L' || start_line AS url,
+  code_tokens, parent_classes, decorators, parameters
+FROM (VALUES {_values(_ROWS)}) t(func_name, entity_type, class_name, class_docstring, docstring_summary, return_type, start_line, end_line, complexity, is_synthetic_docstring,
+  code_tokens, parent_classes, decorators, parameters)
+"""
+SQL["entity_summary"] = """
+SELECT 'repo' AS repository, 'out' AS output_directory, '{"min_lines": 1}' AS config, '{"files": 3}' AS statistics, CAST(7 AS BIGINT) AS total_entities, CAST(2 AS BIGINT) AS classes_discovered,
+  '{"class":2,"function":1,"method":2,"property":1,"static_method":1}' AS entity_type_counts, 'Base Nested' AS classes
+"""
+
+SQL["paginated_discussions"] = """
+WITH c AS (SELECT conv_id, count(*) AS turns, row_number() OVER (ORDER BY conv_id DESC) - 1 AS ordinal FROM conversations GROUP BY conv_id)
+SELECT ordinal, ordinal // 100 AS page, conv_id, turns FROM c WHERE ordinal < 1000
+"""
+SQL["enriched_truth"] = """
+WITH r AS (
+  SELECT CAST(item_id AS VARCHAR) AS query, 0 AS place, 'x/docs_cleaned.json' AS file, d.source || chr(10) || d.text AS t FROM benchmark LEFT JOIN documents d ON doc_id = item_id
+  UNION ALL SELECT CAST(item_id AS VARCHAR), 1, 'x/discussions.json', c.text FROM benchmark LEFT JOIN conversations c ON conv_id = item_id * 2 AND turn = 0
+  UNION ALL SELECT CAST(item_id AS VARCHAR), 2, 'y/src_filtered_data.json', html FROM benchmark LEFT JOIN pages ON page_id = item_id * 3
+  UNION ALL SELECT CAST(item_id AS VARCHAR), 3, 'other.json', NULL FROM benchmark
+)
+SELECT query, CAST(place AS INTEGER) AS place, file, md5(coalesce(t, 'as it was')) AS text_md5 FROM r
+"""
+SQL["output_path_filter"] = "SELECT p_partkey FROM part WHERE contains('src/' || p_type || '/' || p_name, 'src/STANDARD') OR contains('src/' || p_type || '/' || p_name, 'BRASS')"
+SQL["source_urls"] = r"""
+WITH r AS (SELECT page_id, regexp_replace(regexp_replace(CASE WHEN starts_with(url, 'https://') THEN substr(url, 9) ELSE url END, '\.html$', ''), '^/+|/+$', '', 'g') AS rel FROM pages)
+SELECT page_id, 'https://raw.example.org/docs/' || rel || '.rst' AS raw, 'https://docs.example.org/stable/_sources/' || rel || '.rst.txt' AS txt FROM r
+"""
+_WORDY = f"len({_WORDS}) >= 40 OR doc_id % 5 = 0"
+SQL["clean_counters"] = f"""
+SELECT count(*) AS processed, count(*) FILTER (source <> 'src1' AND ({_WORDY})) AS kept, count(*) FILTER (source = 'src1') AS filtered_by_url,
+  count(*) FILTER (source <> 'src1' AND NOT ({_WORDY})) AS filtered_by_min_words FROM documents
+"""
+SQL["kept_documents"] = f"SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS index, 'docs' AS label, 'docs_cleaned.json' AS file FROM documents WHERE {_WORDY}"
+SQL["collection_created"] = """
+SELECT CASE WHEN vec_id % 3 = 0 THEN 'second' ELSE 'first' END AS v, count(*) AS n, CAST(64 AS INTEGER) AS size, 'COSINE' AS distance FROM embeddings GROUP BY 1
+"""
+SQL["json_lines_round_trip"] = "SELECT doc_id, md5(text) AS text_md5 FROM documents"
+SQL["json_array_round_trip"] = "SELECT page_id, url, md5(html) AS html_md5 FROM pages"
+SQL["requests_loaded"] = """
+WITH r AS (SELECT 0 AS f, item_id, text, 'docs' AS t FROM benchmark UNION ALL SELECT 1, item_id, text, 'code' FROM benchmark)
+SELECT row_number() OVER (ORDER BY f, item_id) AS query_id, text AS query, t AS query_type FROM r
+"""
+SQL["result_dump"] = f"""
+WITH {_VEC}, d AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS doc_id, round(list_sum([(q.v[i] - c.v[i]) * (q.v[i] - c.v[i]) FOR i IN range(1, len(q.v) + 1)]), 6) AS distance
+  FROM v q JOIN v c ON q.vec_id % 50 = 0
+), t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id) AS r FROM d QUALIFY r <= 5)
+SELECT query_id, 'q' || query_id AS query, string_agg(doc_id::VARCHAR, ' ' ORDER BY r) AS doc_ids, string_agg('v' || doc_id, ' ' ORDER BY r) AS top_docs,
+  string_agg('https://x/' || doc_id, ' ' ORDER BY r) AS doc_links, round(sum(distance), 5) AS total FROM t GROUP BY query_id
+"""
+SQL["eval_latency"] = f"""
+WITH {_EVAL} SELECT query_type, round(avg((query_id % 7) / 8.0), 6) AS mean, round(stddev_pop((query_id % 7) / 8.0), 6) AS std FROM m GROUP BY ROLLUP (query_type)
+"""
+_four = lambda c: f"printf('%.4f', avg(CAST({c} AS DOUBLE)))"
+SQL["eval_report"] = f"""
+WITH {_EVAL} SELECT query_type, upper(coalesce(query_type, 'all')) || ' (' || count(*) || ' queries), MRR ' || {_four("mrr")} || ', MAP ' || {_four("average_precision")}
+  || ', NDCG@10 ' || {_four("ndcg_at_10")} || ', Precision@5 ' || {_four("precision_at_5")} || ', Recall@5 ' || {_four("recall_at_5")}
+  || ', latency ' || printf('%.2f', avg((query_id % 7) / 8.0) * 1000) || ' +- ' || printf('%.2f', stddev_pop((query_id % 7) / 8.0) * 1000) || ' ms' AS line FROM m GROUP BY ROLLUP (query_type)
+"""
+SQL["retrieved_with_latency"] = f"""
+WITH {_BM25.replace("FROM documents", "FROM (SELECT doc_id, source || ' ' || text AS text FROM documents)")}, o AS (SELECT query_id, doc_id, round(score, 6) AS score FROM s),
+r AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM o QUALIFY rank <= 5)
+SELECT item_id AS query_id, coalesce(string_agg(doc_id::VARCHAR, ' ' ORDER BY rank), '') AS found, true AS timed FROM benchmark LEFT JOIN r ON item_id = query_id GROUP BY item_id
+"""

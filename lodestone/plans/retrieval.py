@@ -11,6 +11,7 @@ from ..functions.text import display
 from ..operators import bm25, corpus, features, hybrid, knn
 from ..operators.ordinals import with_ordinal
 from ..sources import readers
+from ..sources.scratch import stored
 
 
 def load_corpus(spark: SparkSession, settings: readers.Settings, schema: str) -> DataFrame:
@@ -57,11 +58,14 @@ def search(docs: DataFrame, queries: DataFrame, method: str = "bm25", k: int = 5
 
 
 def retrieve(docs: DataFrame, queries: DataFrame, **how) -> tuple[DataFrame, float]:
-    """Result rows and the seconds that planning the search took; a run's wall
-    time is its caller's to measure around the action."""
+    """Result rows, and the seconds that embedding and searching took.  The ranking
+    is written out inside the measured time; each row has its share of that as
+    ``latency``, since the queries are answered together."""
     began = time.perf_counter()
-    ranked = search(docs, queries, **how)
-    return hybrid.results(ranked, queries, shown(docs)), time.perf_counter() - began
+    ranked = stored(search(docs, queries, **how))
+    seconds = time.perf_counter() - began
+    rows = hybrid.results(ranked, queries, shown(docs))
+    return rows.withColumn("latency", F.lit(seconds / max(1, queries.count()))), seconds
 
 
 def statistics(results: DataFrame) -> DataFrame:

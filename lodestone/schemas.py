@@ -7,6 +7,10 @@ CLEANED_DOC = "file string, title string, text string, code_blocks array<struct<
 SECTION = "file string, label string, title string, text string, parent_index long, index long"
 _PERSON = "author struct<login: string>, bodyText string"
 DISCUSSION = f"title string, url string, createdAt string, answerChosenAt string, author struct<login: string>, bodyText string, answer struct<{_PERSON.replace(' ', ': ', 1).replace(', bodyText ', ', bodyText: ')}>, comments array<struct<bodyText: string>>, label string, file string, index long"
+DISCUSSION_NODE = (
+    "title: string, url: string, createdAt: string, answerChosenAt: string, author: struct<login: string>, bodyText: string, "
+    "answer: struct<author: struct<login: string>, bodyText: string>, comments: struct<nodes: array<struct<author: struct<login: string>, bodyText: string>>>"
+)
 RAG_DOC = "label string, file string, index long, title string, text string"
 DOCUMENT = "index long, source_type string, path string, text string, func_name string, docstring_summary string, title string"
 REQUEST = "id long, query string, query_type string, type string"

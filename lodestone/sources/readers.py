@@ -50,6 +50,29 @@ def source_tree(spark: SparkSession, root: str, subdirs: Sequence[str] = ("src/l
     return files.select(rel.alias("path"), F.col("content").cast("string").alias("content")).orderBy("path")
 
 
+def first_pages(pages: DataFrame, most: int = 1000) -> DataFrame:
+    """The nodes of cursor pages (page, nodes, has_next) as (ordinal, page, node):
+    pages are taken in order until they have ``most`` nodes together, a page says
+    that none follows, or one has no nodes at all.  The page that reaches ``most``
+    is taken whole.  What is summed up in one place is a row a page."""
+    before = Window.orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = pages.select("page", F.coalesce(F.size("nodes"), F.lit(0)).alias("n"), F.coalesce("has_next", F.lit(False)).alias("on"))
+    ends = F.coalesce(F.max(~F.col("on") | (F.col("n") <= 0)).over(before), F.lit(False))
+    first = F.coalesce(F.sum(F.greatest("n", F.lit(0))).over(before), F.lit(0))
+    taken = sizes.select("page", first.alias("first"), ends.alias("ended")).where(~F.col("ended") & (F.col("first") < most))
+    nodes = pages.join(taken.select("page", "first"), "page").select("page", "first", F.posexplode("nodes").alias("at", "node"))
+    return nodes.select((F.col("first") + F.col("at")).cast("long").alias("ordinal"), "page", "node")
+
+
+def discussion_pages(spark: SparkSession, path: str, most: int = 1000) -> DataFrame:
+    """Landed answers of a paginated discussions query, a file a page, in the
+    order of their names, newest first: ordinal and the discussion's columns."""
+    node = schemas.DISCUSSION_NODE
+    answer = f"data struct<repository: struct<discussions: struct<pageInfo: struct<hasNextPage: boolean, endCursor: string>, nodes: array<struct<{node}>>>>>"
+    rows = spark.read.schema(answer).option("multiLine", True).json(path).select(F.col("_metadata.file_path").alias("page"), F.col("data.repository.discussions").alias("d"))
+    return first_pages(rows.select("page", "d.nodes", F.col("d.pageInfo.hasNextPage").alias("has_next")), most).select("ordinal", "node.*")
+
+
 def requests(spark: SparkSession, paths: str | Sequence[str], type_fallback: bool = True) -> DataFrame:
     """(query_id, query, query_type): the items of the files in order, numbered
     from 1.  Items are objects or bare strings; ``paths`` is a folder (its
