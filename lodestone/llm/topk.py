@@ -10,22 +10,22 @@ window merges the parts.  No side is broadcast, so that neither has to be small.
 Defined cases.  A vector that is null, or holds a null or a component that is
 not finite, takes no part, neither as query nor as candidate; an empty vector
 scores 0 against all.  Vectors of different length: missing terms weigh 0.
-Where an id stands in several rows, the row with the smallest vector counts; a
-null id takes no part.  Ties go to the smaller id.  A score beyond 64 bits is
+Rows with one id are candidates of their own, and none of them answers a query of
+that id; query rows with one id are one query, whose answers are the best of all
+its rows'.  A null id takes no part.  Ties go to the smaller id.  A score beyond 64 bits is
 held at the nearest 64-bit value.  With fewer than k candidates all come back.
 An empty table gives no rows.  Further columns are ignored.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PART_ROWS = 8192  # candidates of a cell
-BLOCK_ROWS = 2048  # queries of a cell
+BLOCK_ROWS = 8192  # queries of a cell
 _SAFE = 2.0**62
 
 
@@ -103,6 +103,12 @@ def _search(scale: float, k: int):
                         got = np.array([min(max(x, -(2**63)), 2**63 - 1) for x in got], np.int64)
                     out.append((np.full(len(top), own), ids[top], got))
         cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
+        if queries.num_rows > len(set(cols[0].tolist())):  # query rows with one id
+            order = np.lexsort((cols[1], ~cols[2], cols[0]))
+            cols = [c[order] for c in cols]
+            heads = np.flatnonzero(np.append(True, cols[0][1:] != cols[0][:-1])) if len(order) else np.zeros(0, np.int64)
+            rank = np.arange(len(order)) - np.repeat(heads, np.diff(np.append(heads, len(order))))
+            cols = [c[rank < k] for c in cols]
         return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.int64())})
 
     return cell
@@ -116,16 +122,19 @@ def usable(vector: Column) -> Column:
 
 def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, scale: float = 256.0) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of each query's ``k`` best rows."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("vid"), F.col(vector_col).cast("array<double>").alias("vector"), is_query.alias("asks"))
+    kind = vectors.schema[vector_col].dataType.elementType.simpleString()
+    vector = F.col(vector_col) if kind in ("float", "double") else F.col(vector_col).cast("array<double>")
+    rows = vectors.select(F.col(id_col).cast("long").alias("vid"), vector.alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     rows = rows.where(F.col("vid").isNotNull() & usable(F.col("vector")))
-    rows = rows.groupBy("vid").agg(F.min("vector").alias("vector"), F.max("asks").alias("asks"))
     sizes = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("q")).first()
     parts, blocks = max(1, -(-sizes["n"] // PART_ROWS)), max(1, -(-sizes["q"] // BLOCK_ROWS))
-    part = F.pmod(F.xxhash64("vid"), F.lit(parts)).cast("int")
-    block = F.pmod(F.xxhash64("vid", F.lit(1)), F.lit(blocks)).cast("int")
+    # By row, not by id: an id that stands in many rows is dealt out too.
+    row = F.monotonically_increasing_id()
+    part = F.pmod(F.xxhash64("vid", row), F.lit(parts)).cast("int")
+    block = F.pmod(F.xxhash64("vid", row, F.lit(1)), F.lit(blocks)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    queries = rows.where("asks").select(F.col("vid").alias("qid"), "vector", block.alias("block"), every(parts).alias("part"))
-    candidates = rows.select("vid", "vector", part.alias("part"), every(blocks).alias("block"))
+    queries = rows.where("asks").select(F.col("vid").alias("qid"), "vector", block.alias("block")).select("*", every(parts).alias("part"))
+    candidates = rows.select("vid", "vector", part.alias("part")).select("*", every(blocks).alias("block"))
     found = queries.groupBy("part", "block").cogroup(candidates.groupBy("part", "block")).applyInArrow(_search(scale, k), "query_id long, vec_id long, score long")
     by_query = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
     ranked = found.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k)
