@@ -105,27 +105,38 @@ def tables_for(size: int, width: int, functions: int, least: float) -> int:
     return max(TABLES, int(np.ceil(TABLES * np.log(1 - one) / np.log(1 - more))))
 
 
-def unit_rows(vectors: pa.Array, width: int) -> np.ndarray:
-    """The vectors as rows of length 1, 0 behind their ends."""
+def rows_of(vectors: pa.Array, width: int) -> np.ndarray:
+    """The vectors as rows of their own type, 0 behind their ends."""
     offsets = vectors.offsets.to_numpy()
-    values = vectors.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].astype(np.float64)
+    values = vectors.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
     lengths = np.diff(offsets)
-    x = np.zeros((len(vectors), width))
+    x = np.zeros((len(vectors), width), values.dtype)
     x[np.repeat(np.arange(len(x)), lengths), np.arange(len(values)) - np.repeat(offsets[:-1] - offsets[0], lengths)] = values
+    return x
+
+
+def units(x: np.ndarray) -> np.ndarray:
+    """The rows at length 1, in double precision."""
+    x = x.astype(np.float64)
     x /= np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def code_type(width: int, functions: int) -> type:
+    return np.int32 if (2 * width) ** functions < 1 << 31 else np.int64
+
+
 def _hash(width: int, functions: int, tables: int, bodies: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 2000):
                 part = batch.slice(lo, 2000)
-                x = unit_rows(part.column(3), width)
+                raw = rows_of(part.column(3), width)
+                x = units(raw)
                 pairs = np.stack([np.stack(codes(x, t, functions), axis=1) for t in range(tables)], axis=1)  # row, table, own/probe
                 flat = pairs.reshape(len(x), -1)
-                packed = [r.tobytes() for r in flat] if bodies else None
-                solid = [r.tobytes() for r in x] if bodies else None
+                packed = [r.tobytes() for r in flat.astype(code_type(width, functions))] if bodies else None
+                solid = [r.tobytes() for r in raw] if bodies else None
                 for t in range(tables):
                     for kind in (0, 1):
                         cols = [part.column(0), part.column(1), part.column(2), pa.array(np.full(len(x), t, np.int32)), pa.array(pairs[:, t, kind])]
@@ -148,17 +159,18 @@ def _first_here(mine: np.ndarray, i: np.ndarray, j: np.ndarray, t: int, code: np
     return first
 
 
-def _compare(least: float, tables: int):
+def _compare(least: float, tables: int, codes_as: type, bodies_as: type):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run_ in sorted_runs(batches):
             n = run_.num_rows
             if n < 2:
                 continue
             col = lambda name: run_.column(name).combine_chunks()  # noqa: B023, E731
-            rep, weight, label = (col(c).to_numpy(zero_copy_only=False) for c in ("rep", "weight", "label"))
+            rep, weight = (col(c).to_numpy(zero_copy_only=False) for c in ("rep", "weight"))
+            label = col("label").dictionary_encode().indices.to_numpy()
             side, own, t = (col(c).to_numpy(zero_copy_only=False) for c in ("side", "own", "t"))
-            x = np.frombuffer(b"".join(col("body").to_pylist()), np.float64).reshape(n, -1)
-            mine = np.frombuffer(b"".join(col("codes").to_pylist()), np.int64).reshape(n, tables, 2)
+            x = units(np.frombuffer(b"".join(col("body").to_pylist()), bodies_as).reshape(n, -1))
+            mine = np.frombuffer(b"".join(col("codes").to_pylist()), codes_as).reshape(n, tables, 2)
             code = col("code").to_numpy()[0]
             whole = not side.any()
             counts = np.zeros(n, np.int64)
@@ -188,8 +200,10 @@ def _compare(least: float, tables: int):
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.93) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
-    body = F.transform(F.col(vector_col).cast("array<double>"), lambda v: v + F.lit(0.0))  # -0.0 is 0.0
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(label_col).cast("string")).alias("label"), F.col(label_col).isNotNull().alias("named"), body.alias("v"))
+    narrow = vectors.schema[vector_col].dataType.elementType.simpleString() == "float"
+    kind = "float" if narrow else "double"
+    body = F.transform(F.col(vector_col).cast(f"array<{kind}>"), lambda v: v + F.lit(0.0).cast(kind))  # -0.0 is 0.0
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(label_col).cast("string"), F.lit("")).alias("label"), F.col(label_col).isNotNull().alias("named"), body.alias("v"))
     takes = F.col("named") & F.col("id").isNotNull() & usable(F.col("v")) & F.coalesce(F.exists("v", lambda v: v != 0), F.lit(False))
     rows = rows.withColumn("takes", takes)
     key = [F.when(F.col("takes"), F.xxhash64("v")), F.when(F.col("takes"), F.xxhash64(F.lit(1), F.col("v"), F.size("v")))]
@@ -202,11 +216,11 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         functions, reach = functions + 1, reach * 2 * width
     tables = tables_for(shape["d"] or 1, width, functions, least)
     side = classes.select("rep", "weight", "label", "v")
-    counts = side.mapInArrow(_hash(width, functions, tables, False), "rep long, weight long, label long, t int, code long").groupBy("label", "t", "code").agg(F.count(F.lit(1)).alias("n_"))
-    hashed = side.mapInArrow(_hash(width, functions, tables, True), "rep long, weight long, label long, t int, code long, own boolean, codes binary, body binary")
+    counts = side.mapInArrow(_hash(width, functions, tables, False), "rep long, weight long, label string, t int, code long").groupBy("label", "t", "code").agg(F.count(F.lit(1)).alias("n_"))
+    hashed = side.mapInArrow(_hash(width, functions, tables, True), "rep long, weight long, label string, t int, code long, own boolean, codes binary, body binary")
     dealt = block_pairs(hashed, ["label", "t", "code"], F.xxhash64("rep"), BLOCK, counts)
     dealt = dealt.select("unit", "rep", "weight", "label", "t", "code", "side", "own", "codes", "body").repartition("unit").sortWithinPartitions("unit")
-    found = saved(dealt.mapInArrow(_compare(least, tables), "a long, b long, n long"))
+    found = saved(dealt.mapInArrow(_compare(least, tables, code_type(width, functions), np.float32 if narrow else np.float64), "a long, b long, n long"))
     linked = found.where("n > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     comps = connected_components(found.where("a <> b").select("a", "b"))
     classes = classes.select("label", "h1", "h2", "rep", "weight").join(linked, "rep", "left").join(comps.withColumnRenamed("id", "rep"), "rep", "left")
