@@ -12,7 +12,9 @@ ones first, and what is over goes to the shards with gaps, so that the counts
 differ by one at most (law ``rows``).
 
 Only shard-by-shard tables reach the driver.  Ranks come from ``ranked_within``,
-so that neither a shard nor a group of copies is ever held in one task.
+so that neither a shard nor a group of copies, nor of one id, is held in one task:
+rows are dealt into cells by a number of their own, as many cells as keep a cell of
+equal texts near ``CELL`` rows.
 
 Defined cases.  Null and empty texts are the same text.  Repeated rows are
 documents of their own.  Null ids are ordinary ids.  Further columns are
@@ -26,7 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import ranked_within, saved
 
-SPREAD = 997
+SPREAD = 997  # cells of a text at least
+CELL = 50_000
 ROUNDS = 6
 
 
@@ -72,8 +75,11 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
         F.xxhash64(text).alias("g1"),
         F.xxhash64(F.concat(F.lit("#"), text)).alias("g2"),
     )
+    # The row's number is written with it, so every later reading agrees on it.
+    base = base.withColumn("row", F.monotonically_increasing_id())
     base = saved(base.withColumn("start", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")))
     total = base.count()
+    spread = max(SPREAD, -(-total // CELL))
     quota = [total // shards + (s < total % shards) for s in range(shards)]
 
     cells = base.groupBy("g1", "g2", F.col("start").alias("shard")).agg(F.count(F.lit(1)).alias("n"))
@@ -85,20 +91,20 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
     # its spread cells: what is joined with the documents has no hot key.
     up_to = F.sum("n").over(of_text.orderBy("shard"))
     ends = cells.withColumn("end", up_to).groupBy("g1", "g2").agg(F.sort_array(F.collect_list(F.struct("end", "shard"))).alias("ends"))  # <= shards a text
-    cell = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(SPREAD)).cast("int")
+    cell = F.pmod(F.xxhash64("doc_id", "row"), F.lit(spread)).cast("int")
     base = base.withColumn("cell", cell)
     sums = base.groupBy("g1", "g2", "cell").agg(F.count(F.lit(1)).alias("n_"))
     before = of_text.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("first", F.coalesce(F.sum("n_").over(before), F.lit(0))).drop("n_").join(ends, ["g1", "g2"])
-    inside = Window.partitionBy("g1", "g2", "cell").orderBy("doc_id")
+    inside = Window.partitionBy("g1", "g2", "cell").orderBy("doc_id", "row")
     placed = base.join(sums, ["g1", "g2", "cell"], "left")
     rank = F.row_number().over(inside) - 1 + F.col("first")
     placed = placed.withColumn("rank", rank).withColumn("linked", F.col("ends").isNotNull())
     own = F.filter("ends", lambda e: e["end"] > F.col("rank"))[0]["shard"]
-    placed = saved(placed.select("doc_id", "size", "text_crc32", "cell", "linked", F.coalesce(F.when(F.col("linked"), own), F.col("start")).alias("wish")))
+    placed = saved(placed.select("doc_id", "row", "size", "text_crc32", "cell", "linked", F.coalesce(F.when(F.col("linked"), own), F.col("start")).alias("wish")))
 
-    turn = F.when(F.col("linked"), F.col("cell")).otherwise(F.col("cell") + SPREAD)
-    ranked = ranked_within(placed, ["wish"], [F.col("doc_id"), F.col("text_crc32")], turn, "rank")
+    turn = F.when(F.col("linked"), F.col("cell")).otherwise(F.col("cell") + spread)
+    ranked = ranked_within(placed, ["wish"], [F.col("doc_id"), F.col("row")], turn, "rank")
     limit = F.element_at(F.array(*[F.lit(q).cast("long") for q in quota]), F.col("wish") + 1)
     ranked = saved(ranked.withColumn("over", F.col("rank") >= limit))
     counts = {r["wish"]: r["n"] for r in ranked.groupBy("wish").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -111,7 +117,7 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
     keep = ranked.where(~F.col("over")).select("doc_id", "size", "text_crc32", F.col("wish").alias("shard"), F.col("rank").alias("slot"))
     if gaps:
         moved = ranked.where("over").drop("rank").withColumn("all", F.lit(0))
-        moved = ranked_within(moved, ["all"], [F.col("wish"), F.col("doc_id"), F.col("text_crc32")], F.col("cell"), "seat")
+        moved = ranked_within(moved, ["all"], [F.col("wish"), F.col("doc_id"), F.col("row")], F.col("cell"), "seat")
         table = F.array(*[F.struct(F.lit(e).cast("long").alias("end"), F.lit(s).alias("shard"), F.lit(d).cast("long").alias("shift")) for e, s, d in gaps])
         gap = F.filter(table, lambda g: g["end"] > F.col("seat"))[0]
         moved = moved.withColumn("gap", gap)
