@@ -5,7 +5,8 @@ surrounding punctuation, and the word's beginnings of four to six characters.
 The model is  bias + sum w_i + sum_{i<j} <v_i, v_j>  over the terms present, so
 that a pair of terms can weigh what neither weighs alone.  It is fitted on at
 most ``per_class`` labelled documents of each class, taken in the order of a
-hash of their id (the documented bound); the terms that enter it are the ``width``
+hash of their id (the documented bound, in rows: an id that stands in several rows
+is learned from once, by its smallest text); the terms that enter it are the ``width``
 buckets most associated with the label in that sample.  Every document is then
 scored over its whole text.
 
@@ -13,8 +14,8 @@ Defined cases.  Null is the empty text, and its score that of the bias alone.
 Without labelled rows of both classes every score is the share of toxic ones
 among those there are, 0 where there are none.  Where an id has several labels,
 the largest counts; null labels and null ids are not learned from.  Repeated
-rows are scored one by one; further columns are ignored; an empty table gives
-an empty one.
+rows are scored one by one; further columns stay, but one with the name of the
+score, which it replaces; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -26,6 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import saved
 
 BUCKETS = 1 << 18
 KNOWN = 300_000  # words remembered in a worker
@@ -126,7 +130,8 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, id_col: str = "
     one = labels.where(learnable & F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).cast("int").alias("y_"))
     pick = lambda y: one.where(F.col("y_") == y).orderBy(F.xxhash64(id_col), id_col).limit(per_class)
     # At most 2 * per_class rows of an id and a label: small by that bound.
-    sample = docs.select(id_col, text_col).join(F.broadcast(pick(0).union(pick(1))), id_col).select(text_col, "y_")
+    sample = docs.select(id_col, text_col).join(F.broadcast(pick(0).union(pick(1))), id_col)
+    sample = saved(sample.groupBy(id_col, "y_").agg(F.min(F.coalesce(text_col, F.lit(""))).alias(text_col)).select(text_col, "y_"))
     totals = {r["y_"]: r["n"] for r in sample.groupBy("y_").agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = totals.get(0, 0), totals.get(1, 0)
     none = np.zeros(0)
@@ -157,6 +162,7 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, id_col: str = "
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with the column ``name`` (double, 0 to 1) behind its own."""
+    docs = docs.drop(name)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
@@ -173,8 +179,6 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "sc
                     plain.clear()
                     telling.clear()
 
-    from pyspark.sql import types as T
-
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
