@@ -21,6 +21,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go."""
     labels = spark.read.parquet(table(sf_dir, "labels"))
+    docs = docs.select(*COLUMNS)
     scored = toxicity.score(docs, toxicity.learn(docs, labels, ~unseen(F.col("doc_id"))), name="toxicity_score")
     return scored.where(F.col("toxicity_score") < 0.7).select(*COLUMNS)
 
