@@ -8,8 +8,8 @@ costs a re-read and never a recomputation of the whole lineage.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +18,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 4 << 20  # text handled by one round of numpy operations
+from ..sources.scratch import stored as saved
+
+CHUNK_BYTES = 1 << 20  # text handled by one round of numpy operations
 
 
 # ---------------------------------------------------------------- tables
@@ -28,37 +30,6 @@ def table(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = spark.sparkContext._jsc.sc().getCheckpointDir()
-        named = named.get() if named.isDefined() else None
-    if not named:
-        named = tempfile.mkdtemp(prefix="lodestone-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def _own_folder(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/lodestone/{spark.sparkContext.applicationId}"
-
-
-def clear_saved(spark: SparkSession) -> None:
-    """Removes the intermediate tables of this application, once its results
-    are written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def saved(df: DataFrame, parts: list[str] | None = None) -> DataFrame:
-    """``df`` written to the shared folder and read back."""
-    path = f"{_own_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    writer = df.write.mode("overwrite").option("compression", "zstd" if not parts else "snappy")
-    (writer.partitionBy(*parts) if parts else writer).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def shuffle_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -74,55 +45,57 @@ def clean_name(df: DataFrame, wanted: str) -> str:
 # ---------------------------------------------------------------- hashing
 
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INV = pow(_BASE, -1, 1 << 64)
+_K1, _K2 = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
+_LOW = np.array([(1 << (8 * i)) - 1 for i in range(9)], dtype=np.uint64)  # the low 0 to 8 bytes
+LONG_WORD = 64  # bytes; longer words are rare and go through a cryptographic hash
 
 
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     h = h ^ (h >> _U(32))
-    h = h * _U(0xD6E8FEB86659FD93)
+    h = h * _K2
     h = h ^ (h >> _U(32))
-    h = h * _U(0xD6E8FEB86659FD93)
+    h = h * _K2
     return h ^ (h >> _U(32))
 
 
-def _byte_values() -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=np.uint64) * _U(0xA24BAED4963EE407))
-
-
-class Hasher:
-    """Hashes of byte ranges by one running sum; holds its tables per worker."""
-
-    def __init__(self) -> None:
-        self.values = _byte_values()
-        self.size = 0
-
-    def _grow(self, n: int) -> None:
-        if n > self.size:
-            self.size = 1 << max(16, (n - 1).bit_length())
-            step = np.full(self.size, _BASE, np.uint64)
-            step[0] = 1
-            self.power = np.multiply.accumulate(step)
-            step[1:] = _BASE_INV
-            self.inverse = np.multiply.accumulate(step)
-
-    def ranges(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        self._grow(len(data) + 1)
-        run = np.empty(len(data) + 1, np.uint64)
-        run[0] = 0
-        np.cumsum(self.values[data] * self.power[: len(data)], out=run[1:])
-        raw = (run[ends] - run[starts]) * self.inverse[starts]
-        return mix(raw + (ends - starts).astype(np.uint64))
+def _stirred(h: np.ndarray) -> np.ndarray:
+    h ^= h >> _U(32)
+    h *= _K2
+    h ^= h >> _U(29)
+    return h
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges, none empty.  Eight bytes at a time enter a
+    state that is stirred in between, for all ranges together, so no regular
+    text makes different words meet."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), "<u8", buffer=padded, strides=(1,))
+    size = ends - starts
+    h = eight[starts]
+    h &= _LOW[np.minimum(size, 8)]
+    h += size.astype(_U) * _K1
+    _stirred(h)
+    more, at = np.flatnonzero((size > 8) & (size <= LONG_WORD)), 8
+    while len(more):
+        x = eight[starts[more] + at]
+        x &= _LOW[np.minimum(size[more] - at, 8)]
+        x += h[more]
+        x *= _K1
+        h[more] = _stirred(x)
+        at += 8
+        more = more[size[more] > at]
+    h *= _K1
+    h ^= h >> _U(32)
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return h
 
 
 # ---------------------------------------------------------------- text slices
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-
 
 def text_slices(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, bytes, offsets of the rows in them) for slices
@@ -146,31 +119,29 @@ def text_slices(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int
         row = end
 
 
-def words(data: np.ndarray, offsets: np.ndarray, more_breaks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words (runs without space or x09-x0D), and for
     each row the index of its first word, with the total at the end."""
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(offsets), np.int64)
-    space = _SPACE[data]
-    before = np.empty(n, bool)
-    before[0] = True
-    before[1:] = space[:-1]
-    heads = offsets[:-1]
-    before[heads[heads < n]] = True
-    after = np.empty(n, bool)
-    after[-1] = True
-    after[:-1] = space[1:]
-    tails = offsets[1:]
-    after[tails[tails > 0] - 1] = True
-    starts = np.flatnonzero(before & ~space)
-    ends = np.flatnonzero(after & ~space) + 1
+    solid = (data != 32) & ((data - np.uint8(9)) > 4)
+    turns = np.flatnonzero(solid[1:] != solid[:-1]) + 1
+    turns = np.concatenate([np.zeros(int(solid[0]), np.int64), turns, np.full(int(solid[-1]), n, np.int64)])
+    starts, ends = turns[0::2], turns[1::2]
+    # A row can end within a run.
+    cuts = np.unique(offsets[(offsets > 0) & (offsets < n)])
+    cuts = cuts[solid[cuts] & solid[cuts - 1]]
+    if len(cuts):
+        starts = np.insert(starts, np.searchsorted(starts, cuts), cuts)
+        ends = np.insert(ends, np.searchsorted(ends, cuts), cuts)
     return starts, ends, np.searchsorted(starts, offsets)
 
 
 def lowered(data: np.ndarray) -> np.ndarray:
-    return _LOWER[data]
+    """A-Z lower-cased."""
+    return data | (((data - np.uint8(65)) < 26).view(np.uint8) << np.uint8(5))
 
 
 # ---------------------------------------------------------------- ranks
@@ -191,6 +162,25 @@ def ranked_within(df: DataFrame, keys: list[str], order: list[Column], spread: C
     return out.withColumn(name, F.row_number().over(inside).cast("long") - 1 + F.col(first)).drop(cell, first)
 
 
+# ---------------------------------------------------------------- batches
+
+
+def pieces(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of so many rows: what is made of one stays small."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
+def give_back() -> None:
+    """Returns what this worker has freed to the system: a worker is kept for
+    later tasks, and its peak would stay with it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 # ---------------------------------------------------------------- runs
 
 

@@ -6,10 +6,13 @@ inverted index holds template and place of each; templates of fewer than
 ``FEW`` words have pairs of words instead.  Where at most a fifth of a template's
 words are changed, a run of that many is left, so that no such match is missed.
 Every gram of a document is looked up in the index.  Hits of a
-template whose diagonals lie within the band and which are near each other make a
-candidate window; template and window are aligned there by a banded local
-alignment (a match +2, anything else -1), which gives the matched words, the
-coverage (of the template's words) and the span.
+template on one diagonal make a group; groups that follow each
+other in both texts, as where foreign words or a line of another text stand in
+between, are chained into one candidate window.  A window with fewer different
+grams of the template than a fifth of changed words leaves is dropped.  Template
+and window are aligned by a local alignment in a band that holds the window's
+diagonals (a match +2, anything else -1), a row of the band at a time, which gives
+the matched words, the coverage (of the template's words) and the span.
 
 The index has the templates' size, not the corpus'; documents are read one by one
 and nothing is shuffled.
@@ -24,6 +27,7 @@ columns are ignored; an empty table gives an empty one.
 from __future__ import annotations
 
 import bisect
+import math
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
 
@@ -31,10 +35,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Hasher, lowered, mix, text_slices
+from .common import lowered, mix, text_slices, word_hashes
 
 _U = np.uint64
 GRAM, FEW = 3, 6
+NEAR = 64  # groups of hits in document order among which a chain is sought
+GAP = 8  # words without a hit that end a group
 _STEP = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9]
 
 # Public licence notices, as their publishers word them.
@@ -50,6 +56,9 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("mit-line", "Released under the MIT License."),
     ("mit-permission", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.'),
+    ("mit-full", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
+    ("isc-full", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'),
+    ("bsd-3-full", 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'),
     ("mpl-2.0-notice", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
 )
 
@@ -86,14 +95,13 @@ class Index:
     """The templates' words and the inverted indices of their grams, by size."""
 
     def __init__(self, templates: Sequence[tuple[str, str]]) -> None:
-        self.hasher = Hasher()
         self.names = [n for n, _ in templates]
         self.words: list[np.ndarray] = []
         postings: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
         for t, (name, text) in enumerate(templates):
             data = lowered(np.frombuffer(text.encode(), np.uint8))
             starts, ends, _ = word_spans(data, np.array([0, len(data)]))
-            w = self.hasher.ranges(data, starts, ends)
+            w = word_hashes(data, starts, ends)
             if len(w) < GRAM:
                 raise ValueError(f"a template of fewer than {GRAM} words: {name}")
             self.words.append(w)
@@ -114,47 +122,67 @@ class Index:
 def align(t: np.ndarray, d: np.ndarray, shift: int, band: int) -> tuple[int, int, int]:
     """The best local alignment of template words ``t`` with document words
     ``d`` within ``band`` of the diagonal d = t + shift: (matched words, first
-    and last document word + 1)."""
-    width = 2 * band + 1
-    score = np.zeros(width + 2, np.int64)  # one column of margin on each side
-    state = np.zeros((width + 2, 2), np.int64)  # matched, start
+    and last document word + 1).  A row of scores is made at once: a step along
+    the document costs 1, so it is the running maximum of score plus place."""
+    n = len(d)
+    score, matched, start = (np.zeros(n + 1, np.int64) for _ in range(3))  # at j: behind document word j - 1
     best = (0, 0, 0, 0)  # score, matched, start, end
-    for i in range(len(t)):
-        new, kept = np.zeros(width + 2, np.int64), np.zeros((width + 2, 2), np.int64)
-        for c in range(1, width + 1):
-            j = i + shift + c - 1 - band
-            if not 0 <= j < len(d):
-                continue
-            same = t[i] == d[j]
-            options = (
-                (int(score[c]) + (2 if same else -1), c, score, state, 0),
-                (int(score[c + 1]) - 1, c + 1, score, state, 1),
-                (int(new[c - 1]) - 1, c - 1, new, kept, 1),
-            )
-            top = max(options, key=lambda o: (o[0], -o[4]))
-            if top[0] <= 0:
-                continue
-            _, at, base, told, gap = top
-            matched, start = told[at] if base[at] > 0 else (0, j)
-            new[c] = top[0]
-            kept[c] = (matched + (same and not gap), start)
-            if top[0] > best[0]:
-                best = (top[0], int(kept[c][0]), int(kept[c][1]), j + 1)
-        score, state = new, kept
+    for i, word in enumerate(t):
+        lo, hi = max(0, i + shift - band), min(n, i + shift + band + 1)
+        new, new_matched, new_start = (np.zeros(n + 1, np.int64) for _ in range(3))
+        if lo < hi:
+            here, before = slice(lo + 1, hi + 1), slice(lo, hi)
+            place = np.arange(lo, hi)
+            same = d[lo:hi] == word
+            along, down = score[before] + np.where(same, 2, -1), score[here] - 1
+            pick = along >= down
+            top = np.maximum(np.maximum(along, down), 0)
+            came = np.where(pick, np.where(score[before] > 0, start[before], place), start[here])
+            held = np.where(pick, np.where(score[before] > 0, matched[before], 0) + same, matched[here])
+            reach = np.maximum.accumulate(top + place)
+            origin = np.maximum.accumulate(np.where(top + place == reach, np.arange(hi - lo), 0))
+            value = reach - place
+            new[here] = value
+            new_matched[here], new_start[here] = held[origin], came[origin]
+            at = int(value.argmax())
+            if value[at] > best[0]:
+                best = (int(value[at]), int(new_matched[lo + 1 + at]), int(new_start[lo + 1 + at]), lo + at + 1)
+        score, matched, start = new, new_matched, new_start
     return best[1], best[2], best[3]
 
 
-def windows(hits: list[tuple[int, int]], band: int) -> Iterator[tuple[int, int]]:
-    """Lowest and highest diagonal of the groups of one template's (document
-    place, template place) hits."""
-    by: list[list[int]] = []
-    for place, at in sorted(hits, key=lambda h: (h[0] - h[1], h[0])):
-        diagonal = place - at
-        if by and diagonal - by[-1][0] <= band:
-            by[-1][1] = diagonal
+def windows(hits: list[tuple[int, int]], words: int) -> Iterator[tuple[int, int, int]]:
+    """Lowest and highest diagonal of the chained groups of one template's
+    (document place, template place) hits, and how many places of the template
+    they hit.  Hits of one diagonal, ``GAP`` words apart at most, are a group.  The fullest group takes those of its ``NEAR`` neighbours, the fullest
+    first, that stand before or behind it in both texts, at most the template's
+    length away in the document; then the fullest of what is left does."""
+    groups: list[list[tuple[int, int]]] = []
+    for hit in sorted(hits, key=lambda h: (h[0] - h[1], h[0])):
+        last = groups[-1][-1] if groups else None
+        if last and hit[0] - hit[1] == last[0] - last[1] and hit[0] - last[0] <= GAP:
+            groups[-1].append(hit)
         else:
-            by.append([diagonal, diagonal])
-    yield from by
+            groups.append([hit])
+    spans = sorted((min(g)[0], max(g)[0], min(a for _, a in g), max(a for _, a in g), i) for i, g in enumerate(groups))
+    free = [True] * len(spans)
+    for seed in sorted(range(len(spans)), key=lambda k: (-len(groups[spans[k][4]]), k)):
+        if not free[seed]:
+            continue
+        chain = [spans[seed]]
+        free[seed] = False
+        near = [k for k in range(max(0, seed - NEAR), min(len(spans), seed + NEAR + 1)) if free[k]]
+        for k in sorted(near, key=lambda k: (-len(groups[spans[k][4]]), k)):
+            first, last, low, high, _ = spans[k]
+            at = bisect.bisect_left(chain, spans[k])
+            behind = at == 0 or (chain[at - 1][1] < first <= chain[at - 1][1] + words and chain[at - 1][2] < low and chain[at - 1][3] < high)
+            before = at == len(chain) or (last < chain[at][0] <= last + words and low < chain[at][2] and high < chain[at][3])
+            if behind and before:
+                chain.insert(at, spans[k])
+                free[k] = False
+        hit = [h for c in chain for h in groups[c[4]]]
+        diagonals = [p - a for p, a in hit]
+        yield min(diagonals), max(diagonals), len({a for _, a in hit})
 
 
 def matches(index: Index, w: np.ndarray, grams: dict[int, np.ndarray], least: float) -> list[tuple[int, int, float, int, int]]:
@@ -167,12 +195,18 @@ def matches(index: Index, w: np.ndarray, grams: dict[int, np.ndarray], least: fl
     found = []
     for t, hits in by.items():
         words = index.words[t]
-        band = max(3, len(words) // 10)
-        for lo, hi in windows(hits, band):
-            start, end = max(0, lo - band), min(len(w), hi + len(words) + band)
+        n, size = len(words), GRAM if len(words) >= FEW else GRAM - 1
+        need = max(1, n - size + 1 - size * (n - math.ceil(least * n)))
+        if len({at for _, at in hits}) < need:
+            continue
+        band = max(3, n // 10)
+        for lo, hi, places in windows(hits, n):
+            if places < need:
+                continue
+            start, end = max(0, lo - band), min(len(w), hi + n + band)
             matched, a, b = align(words, w[start:end], (lo + hi) // 2 - start, band + (hi - lo + 1) // 2)
-            if matched >= least * len(words):
-                found.append((t, matched, matched / len(words), start + a, start + b))
+            if matched >= least * n:
+                found.append((t, matched, matched / n, start + a, start + b))
     found.sort(key=lambda m: (-m[1], -m[2], m[3], index.names[m[0]]))
     taken: list[tuple[int, int, float, int, int]] = []
     spans: list[tuple[int, int]] = []  # disjoint, sorted
@@ -195,7 +229,7 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, id_c
         for batch in batches:
             for lo, _, data, offsets in text_slices(batch.column(1)):
                 starts, ends, first = word_spans(data, offsets)
-                w = index.hasher.ranges(lowered(data), starts, ends)
+                w = word_hashes(lowered(data), starts, ends)
                 grams = {size: grams_of(w, size) for size in index.keys}
                 hits = np.concatenate([np.zeros(0, np.int64), *(index.hits(g, size) for size, g in grams.items())])
                 rows = np.unique(np.searchsorted(first, hits, side="right") - 1)

@@ -45,14 +45,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hasher, block_pairs, lowered, mix, saved, shuffle_parts, sorted_runs, text_slices, words
+from .common import block_pairs, give_back, lowered, mix, saved, shuffle_parts, sorted_runs, text_slices, word_hashes, words
 from .graph import connected_components
 
 _U = np.uint64
 _STEP = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5]
 SKETCH = 1024  # bits
 BLOCK = 1024  # documents of a bucket that are compared at once
-FLUSH = 1 << 20  # keys a task holds before it packs them
+FLUSH = 1 << 18  # keys a task holds before it packs them
 FINE = 8  # packed parts for each shuffle partition
 # Bits of a key's role; TAKEN: already passed on as member; CHOSEN: one of the
 # segments that the document's own guarantee rests on.
@@ -64,12 +64,12 @@ class Shingler:
     """Sets of the texts of a slice."""
 
     def __init__(self, size: int) -> None:
-        self.size, self.hasher = size, Hasher()
+        self.size = size
 
     def sets(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
         data = lowered(data)
         starts, ends, first = words(data, offsets)
-        w = self.hasher.ranges(data, starts, ends)
+        w = word_hashes(data, starts, ends)
         k = self.size
         step = [_U((_STEP[j % 4] * (2 * j + 1)) % (1 << 64)) for j in range(k)]
         whole = max(0, len(w) - k + 1)
@@ -271,6 +271,7 @@ def _pack(size: int, percent: int, parts: int):
                         yield flush()
             if len(docs) > 20_000:
                 yield flush()
+            give_back()
             if len(seen) > 500_000:
                 seen.clear()
         yield flush()
@@ -343,6 +344,7 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield flushed()
     if links:
         yield flushed()
+    give_back()
 
 
 def _near(layout: Layout):
