@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import os
 import unicodedata
 from collections.abc import Iterator
 from pathlib import Path
@@ -31,6 +32,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import give_back
+
 SHORT = 64  # parts of a word in the matrix form
 KEPT = 150_000  # pieces in one generation of the cache
 BLOCK = 8192  # words merged together
@@ -82,6 +85,7 @@ class Bpe:
         cut = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
         self.pieces = regex.compile(cut).findall
         marks = sorted(self.special, key=len, reverse=True)
+        self.hint = os.path.commonprefix(marks)  # what every special string begins with
         self.marks = regex.compile("(" + "|".join(map(regex.escape, marks)) + ")") if marks else None
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -212,7 +216,7 @@ class Bpe:
         cut: list[list[str]] = []
         seen: set[str] = set()
         for text in texts:
-            if text and self.marks and "<|" in text:
+            if text and self.marks and self.hint in text:
                 row = []
                 for i, span in enumerate(self.marks.split(text)):
                     row.extend([" " + span] if i % 2 else self.normal(span).split(" "))
@@ -273,6 +277,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                     cols += [pa.array([np.frombuffer(x, "<i4") for x in encoded], pa.list_(pa.int32())), pa.array(decoded)]
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
+            give_back()
 
     kind = dict(docs.dtypes)[id_col]
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if keep else "")

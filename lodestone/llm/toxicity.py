@@ -29,10 +29,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import saved
+from .common import give_back, saved
 
 BUCKETS = 1 << 18
-KNOWN = 300_000  # words remembered in a worker
+KNOWN = 150_000  # words remembered in a worker
 _EDGE = " \t\n\r.,;:!?\"'()[]{}<>|*#%&$-_/\\"
 
 
@@ -178,6 +178,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "sc
                 if len(plain) + len(telling) > KNOWN:
                     plain.clear()
                     telling.clear()
+        del plain, telling
+        give_back()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
