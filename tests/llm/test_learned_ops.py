@@ -60,6 +60,26 @@ def test_toxicity_learns_a_pair(spark):
     assert s[3] > 0.7 and max(s[:3]) < 0.5
 
 
+def test_toxicity_score_is_the_sum_over_pairs(spark):
+    rng = np.random.default_rng(2)
+    model = toxicity.Model(np.arange(30), -0.3, rng.standard_normal(30), 0.4 * rng.standard_normal((30, 8)))
+    rows = [set(), {4}, *[set(rng.choice(30, k, replace=False).tolist()) for k in (2, 5, 12, 30)]]
+    for found, terms in zip(model.scores(rows), rows, strict=True):
+        t = sorted(terms)
+        z = model.bias + sum(model.w[i] for i in t) + sum(float(model.v[i] @ model.v[j]) for k, i in enumerate(t) for j in t[:k])
+        assert found == pytest.approx(1 / (1 + np.exp(-z)))
+
+
+def test_toxicity_learns_once_from_a_repeated_id(spark):
+    docs = spark.createDataFrame([(1, "bad words here", 0)] * 50 + [(2, "kind words there", 0)] + [(3, "bad again", 0)], "doc_id long, text string, toxicity_score int")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0)], "doc_id long, toxic int")
+    model = toxicity.learn(docs, labels, F.lit(True))
+    once = toxicity.learn(docs.dropDuplicates(), labels, F.lit(True))
+    assert model.bias == once.bias and (model.w == once.w).all()
+    got = toxicity.score(docs, model, name="toxicity_score")
+    assert got.columns == ["doc_id", "text", "toxicity_score"] and got.count() == 52
+
+
 def test_toxicity_edges(spark):
     docs = spark.createDataFrame([(1, None, 9.0), (2, "", 9.0), (2, "", 9.0), (None, "x" * 10_000, 9.0)], "doc_id long, text string, score double")
     none = spark.createDataFrame([], "doc_id long, toxic int")
@@ -193,6 +213,24 @@ def test_sharding_law_and_cut(spark):
     assert text_of[700]["size"] == len(texts[700]) + 16 and {r["law"] for r in got} == {"rows"}
 
 
+def test_sharding_with_a_hot_id_and_long_texts(spark, monkeypatch):
+    """One id and one text in a third of the rows, in cells of few rows."""
+    monkeypatch.setattr(sharding, "CELL", 2)
+    monkeypatch.setattr(sharding, "SPREAD", 7)
+    rows = [(1, "same")] * 150 + [(None, None)] * 50 + [(i, f"t{i // 2}") for i in range(2, 250)] + [(900, "x" * 3_000_000)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 8).collect()
+    sizes = [sum(r["shard"] == s for r in got) for s in range(8)]
+    assert len(got) == len(rows) and max(sizes) - min(sizes) <= 1
+    for s in range(8):
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sizes[s]))
+    assert [r["size"] for r in got if r["doc_id"] == 900] == [3_000_016]
+    # Fewer linked pairs are cut than where documents stay where they start.
+    pairs = [(r["doc_id"], r["shard"]) for r in got if r["doc_id"] is not None and 2 <= r["doc_id"] < 250]
+    place = dict(pairs)
+    cut = sum(place[i] != place[i + 1] for i in range(2, 250, 2))
+    assert cut <= 0.5 * 124 * 7 / 8
+
+
 def test_sharding_of_nothing_and_of_few(spark):
     assert sharding.shard(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     got = sharding.shard(spark.createDataFrame([(1, "a"), (2, "a")], "doc_id long, text string")).collect()
@@ -213,12 +251,26 @@ def test_topk_edges(spark):
     rows = [(0, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [1.0, 2.0]), (3, None), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, []), (8, [1.0]), (9, [-1.0, -2.0]), (None, [1.0, 1.0]), (1, [1.0, 9.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit(1))
     got = [tuple(r) for r in topk.top_k(df, F.col("vec_id").isin(0, 4, 7), k=3, scale=1.0).orderBy("query_id", "rank").collect()]
-    assert got == [(0, 1, 1, 5), (0, 2, 2, 5), (0, 3, 8, 1), (7, 1, 0, 0), (7, 2, 1, 0), (7, 3, 2, 0)]
+    assert got == [(0, 1, 1, 19), (0, 2, 1, 5), (0, 3, 2, 5), (7, 1, 0, 0), (7, 2, 1, 0), (7, 3, 1, 0)]
+    pooled = spark.createDataFrame([(0, [1.0]), (0, [2.0]), (0, [2.0]), (1, [1.0]), (2, [3.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r)[1:] for r in topk.top_k(pooled, F.col("vec_id") == 0, k=3, scale=1.0).orderBy("rank").collect()] == [(1, 2, 6), (2, 2, 6), (3, 2, 3)]
     assert topk.top_k(df.limit(0), F.lit(True)).collect() == []
     huge = spark.createDataFrame([(0, [1e30]), (1, [1e30]), (2, [-1e30])], "vec_id long, embedding array<double>")
     assert [r["score"] for r in topk.top_k(huge, F.col("vec_id") == 0, k=2).orderBy("rank").collect()] == [2**63 - 1, -(2**63)]
 
 
+def test_topk_with_repeated_ids_against_sql(spark):
+    rng = np.random.default_rng(6)
+    rows = [(int(i), rng.standard_normal(4).tolist()) for i in rng.integers(0, 120, 300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
+    ours = topk.top_k(df, F.col("vec_id") % 50 == 0).collect()
+    theirs = con.sql(queries.oracle_sql()["op7_topk"]).fetchall()
+    assert sorted(map(tuple, ours)) == sorted(theirs) and len(theirs) == 15
+
+
 def test_topk_parts_merge(spark, monkeypatch):
     monkeypatch.setattr(topk, "PART_ROWS", 37)
     monkeypatch.setattr(topk, "BLOCK_ROWS", 5)
@@ -420,3 +472,66 @@ def test_pipeline(spark, sf_dir):
     assert mixed.columns == docs.columns
     out = pipeline.run(spark, sf_dir)
     assert {"doc_id", "n_tokens", "ids"} <= set(out.columns) and out.count() > 0
+
+
+def test_pipeline_against_brute_force(spark, sf_dir, tmp_path):
+    """Each stage on what the one before kept: lines and near-duplicates by hand,
+    tokens by the library; only toxic documents go in the first."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    import hashlib
+
+    import public_tokenizers
+    from test_text_ops import components, removed_by_hand
+    from tokenizers import Tokenizer
+
+    kept = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    stage = dict(pipeline.STAGES)
+    rows = lambda df: [tuple(r) for r in df.select("doc_id", "text").orderBy("doc_id", "text").collect()]
+    start = rows(kept)
+    from lodestone.llm.common import saved
+
+    kept = saved(stage["toxicity"](spark, kept, sf_dir))
+    first = rows(kept)
+    assert set(first) <= set(start) and len(first) >= 0.9 * len(start)
+    kept = saved(stage["line_dedup"](spark, kept, sf_dir))
+    gone = removed_by_hand([t for _, t in first], 80, 5)
+    want = []
+    for n, (d, text) in enumerate(first):
+        lines = text.split("\n")
+        left = [x for k, x in enumerate(lines) if (n, k) not in gone]
+        if len(left) == len(lines) or "".join(left).strip():
+            want.append((d, "\n".join(left)))
+    second = rows(kept)
+    assert second == want
+    kept = saved(stage["near_duplicates"](spark, kept, sf_dir))
+    label = components([t for _, t in second], 5, 80)[1]
+    third = rows(kept)
+    assert third == [second[i] for i, c in enumerate(label) if c == i]
+    kept = saved(stage["mixing"](spark, kept, sf_dir))
+    fourth = rows(kept)
+    assert set(fourth) <= set(third) and max(fourth.count(r) for r in set(fourth)) <= 2
+    library = Tokenizer.from_file(public_tokenizers.path(queries.VOCABULARY))
+    library.no_padding()
+    library.no_truncation()
+    got = sorted((r["doc_id"], r["n_tokens"], r["ids_sha256"]) for r in stage["encoding"](spark, kept, sf_dir).collect())
+    told = [library.encode(t, add_special_tokens=False).ids for _, t in fourth]
+    assert got == sorted((d, len(x), hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest()) for (d, _), x in zip(fourth, told, strict=True))
+
+
+def test_pipeline_stages_on_odd_rows(spark, sf_dir):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    line = "one two three four five six seven"
+    data = [(1, line, "en", "src0", 1), (1, line, "en", "src0", 1), (2, None, None, None, None), (None, f"{line}\nother", "en", "src0", 9), (3, "", "de", "src1", 0), (4, f"{line} eight\n" + "long " * 200_000, "en", "src2", 7)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+    clash = docs.selectExpr("*", "1 AS toxicity_score", "2 AS n_removed", "3 AS late_", "4 AS component_id", "5 AS n_tokens", "6 AS path")
+    ids = {}
+    for name, stage in pipeline.STAGES:
+        got = stage(spark, clash, sf_dir)
+        if name != "encoding":
+            assert got.columns == docs.columns, name
+        ids[name] = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got.select("doc_id").collect())
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0, name
+    every = sorted((d[0] is None, d[0] or 0) for d in data)
+    assert ids["toxicity"] == ids["line_dedup"] == ids["encoding"] == every
+    assert ids["near_duplicates"] == every
+    assert len(ids["mixing"]) <= 2 * len(data)

@@ -4,6 +4,9 @@ import hashlib
 import random
 import re
 import struct
+import subprocess
+import sys
+from pathlib import Path
 
 import public_tokenizers
 import pytest
@@ -137,6 +140,57 @@ def test_line_dedup_second_round(spark):
     assert {r["doc_id"] for r in got} == {d for d, _ in removed_by_hand(texts, 80, 5)}
 
 
+TIGHT = line_dedup.Limits(hot=13, whole=6, lead=2, keep=1, local=4)  # frequent: counted twice or more
+
+
+@pytest.mark.parametrize("percent, least, seed", [(80, 5, 1), (60, 4, 2), (90, 1, 3)])
+def test_line_dedup_by_pairs_of_words_and_open_lines(spark, percent, least, seed):
+    """Frequent words, buckets large in a task and in all, and the last round."""
+    rng = random.Random(seed)
+    base = rng.sample(WORDS, 30)
+    lines = near_texts(seed, 100) + [" ".join(rng.sample(base, 26) + rng.sample(WORDS, rng.choice([2, 4, 6]))) for _ in range(80)]
+    texts = ["\n".join(rng.choices(lines, k=rng.randrange(1, 6))) for _ in range(80)]
+    df = spark.createDataFrame(list(enumerate(texts)), DOCS).repartition(3)
+    got = line_dedup.removals(df.select(F.col("doc_id").alias("id"), "text"), percent, least, TIGHT).collect()
+    assert {tuple(r) for r in got} == removed_by_hand(texts, percent, least)
+    assert len(got) == len({tuple(r) for r in got})
+
+
+def test_a_worker_of_line_dedup_stays_small(spark):
+    """One task reads 25 MB of text in one go and holds a few slices of it."""
+    code = (
+        "import random, resource, sys, numpy as np, pyarrow as pa\n"
+        "from lodestone.llm import line_dedup as L\n"
+        "rng = random.Random(1)\n"
+        "words = [''.join(rng.choices('abcdefgh', k=6)) for _ in range(60000)]\n"
+        "texts = ['\\n'.join(' '.join(rng.choices(words, k=40)) for _ in range(8)) for _ in range(11000)]\n"
+        "batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=['id', 'text'])\n"
+        "del texts\n"
+        "before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss\n"
+        "class Held: value = np.full(L.COUNTERS, 30, np.uint8)\n"
+        "for _ in L._count(iter([batch.select([1])])): pass\n"
+        "for out in L._pack(Held, 80, 5, 64, L.LIMITS)(iter([batch])):\n"
+        "    for _ in L._match(80, L.LIMITS)(iter(out.slice(i, 1) for i in range(out.num_rows))): pass\n"
+        "print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)\n"
+    )
+    root = Path(__file__).resolve().parents[2]
+    got = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True)
+    assert int(got.stdout.split()[-1]) < 160  # MB
+
+
+@pytest.mark.parametrize("size", [1024, 2048, 4096])
+def test_regular_long_words_do_not_meet(spark, size):
+    """Thue-Morse words and their complements, which polynomial hashes confuse."""
+    bits = [bin(i).count("1") & 1 for i in range(size)]
+    x, y = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    rest = "c d e"
+    df = spark.createDataFrame([(0, f"{x} {rest}"), (1, f"{y} {rest}")], DOCS)
+    got = ngram_join.jaccard_components(df).orderBy("doc_id").collect()
+    assert [r["component_id"] for r in got] == [0, 1]
+    same = line_dedup.dedup_lines(spark.createDataFrame([(0, f"{x} c d e f"), (1, f"{y} c d e f")], DOCS), percent=90, counted=True).collect()
+    assert [r["n_removed"] for r in same] == [0, 0]
+
+
 def test_line_dedup_edges(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], DOCS)).collect() == []
     rows = [(None, "a b c d e"), (1, "a b c d e"), (1, "a b c d e"), (2, "e d c b a")]
@@ -172,6 +226,61 @@ def test_licences_with_every_fifth_word_changed(spark):
         assert sorted((r["doc_id"], r["matched_words"]) for r in got) == [(i, left) for i in range(5)], name
 
 
+def unbanded(t, d):
+    """Matched words and span of the best local alignment, by the full table."""
+    rows = [[(0, 0, 0)] * (len(d) + 1) for _ in range(len(t) + 1)]  # score, matched, start
+    best = (0, 0, 0, 0)
+    for i, x in enumerate(t):
+        for j, y in enumerate(d):
+            s, m, a = rows[i][j]
+            options = [(s + (2 if x == y else -1), m + (x == y), a if s > 0 else j)]
+            options += [(s - 1, m, a) for s, m, a in (rows[i][j + 1], rows[i + 1][j])]
+            top = max(options, key=lambda o: o[0])
+            if top[0] > 0:
+                rows[i + 1][j + 1] = top
+                if top[0] > best[0]:
+                    best = (*top, j + 1)
+    return best[1:]
+
+
+def test_licence_recall_against_unbanded_alignment(spark):
+    """Words changed, dropped and put in, and foreign lines within a notice."""
+    rng = random.Random(5)
+    rows, want = [], {}
+    for i in range(120):
+        name, text = rng.choice([t for t in license_scan.TEMPLATES if len(t[1]) < 900])
+        words = [w.lower() for w in re.findall(r"[A-Za-z0-9]+", text)]
+        changed = list(words)
+        for _ in range(rng.randrange(len(words) // 5 + 1)):
+            at = rng.randrange(len(changed))
+            changed[at : at + rng.choice([0, 1])] = rng.choice([[], [rng.choice(WORDS)]])
+        if len(words) > 30 and rng.random() < 0.4:
+            at = rng.randrange(len(changed))
+            changed[at:at] = rng.choices(WORDS, k=rng.randrange(5, 20))
+        doc = rng.choices(WORDS, k=20) + changed + rng.choices(WORDS, k=20)
+        rows.append((i, " ".join(doc)))
+        matched, first, last = unbanded(words, doc)
+        if matched >= 0.8 * len(words):
+            want[i] = (name, len(" ".join(doc[:first])) + 1, len(" ".join(doc[:last])))
+    got = {}
+    for r in license_scan.scan(spark.createDataFrame(rows, DOCS)).collect():
+        got.setdefault(r["doc_id"], []).append((r["license"], r["start"], r["end"]))
+    hit = sum(any(name == n or (s <= a and b <= e) for n, s, e in got.get(i, [])) for i, (name, a, b) in want.items())
+    assert len(want) > 80 and hit >= 0.97 * len(want)
+    assert len({i for i in got if i not in want}) <= 0.05 * len(rows)
+
+
+def test_licences_with_foreign_words_and_odd_rows(spark):
+    text = dict(license_scan.TEMPLATES)["apache-2.0-notice"].split()
+    split = " ".join(text[:39] + [f"f{k}" for k in range(12)] + text[39:])
+    part = " xx ".join([" ".join(text[:20])] * 100)
+    long = "word " * 600_000 + split
+    rows = [(None, split), (1, split), (1, split), (2, part), (3, long)]
+    got = license_scan.scan(spark.createDataFrame(rows, DOCS)).where("license = 'apache-2.0-notice'").collect()
+    assert sorted((r["doc_id"] or -1, r["coverage"]) for r in got) == [(-1, 1.0), (1, 1.0), (1, 1.0), (3, 1.0)]
+    assert [r["start"] for r in got if r["doc_id"] == 3] == [3_000_000]
+
+
 def test_licence_hits_equal_a_search_for_the_words(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet")
     got = {(r["doc_id"], r["license"]) for r in license_scan.scan(docs).collect()}
