@@ -35,7 +35,9 @@ def usable(v: Column) -> Column:
 
 
 def padded(v: Column, width: int) -> Column:
-    """``v`` with zeros behind it, ``width`` components in all."""
+    """``v`` with zeros behind it, ``width`` components in all; nothing in it is
+    null, wherever the optimiser moves the test for that."""
+    v = F.transform(F.coalesce(v, F.array().cast("array<double>")), lambda x: F.coalesce(x, F.lit(0.0)))
     return F.concat(v, F.array_repeat(F.lit(0.0), F.greatest(F.lit(width) - F.size(v), F.lit(0))))
 
 

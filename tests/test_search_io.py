@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import bm25, features, hybrid, knn, ordinals
+from lodestone.operators import bm25, evaluate, features, hybrid, knn, ordinals
 from lodestone.plans import catalogue, retrieval
 from lodestone.sources import crawl, readers, sinks
 from lodestone.streaming.append import append_documents
@@ -32,17 +32,16 @@ def test_neighbours(spark, sf_dir):
     want = {(r["query_id"], r["doc_id"], r["rank"]) for r in flat}
     all_cells = knn.by_cells(rows, asks, probes=100).collect()
     assert {(r["query_id"], r["doc_id"], r["rank"]) for r in all_cells} == want
-    for found in (knn.by_cells(rows, asks, probes=25), knn.by_hashing(rows, asks)):
-        got = {(r["query_id"], r["doc_id"]) for r in found.collect()}
-        assert len(got & {w[:2] for w in want}) >= 0.5 * len(want)
+    got = {(r["query_id"], r["doc_id"]) for r in knn.by_hashing(rows, asks).collect()}
+    assert len(got & {w[:2] for w in want}) >= 0.9 * len(want)
     assert knn.exact(rows.limit(2), asks.limit(1), k=5).count() == 2
 
 
-@pytest.mark.parametrize("size", ["sf0.001", "sf0.01", "sf0.1"])
-def test_index_query_finds_nine_of_ten(spark, size):
+@pytest.mark.parametrize("name, size", [("knn_ivf", "sf0.001"), ("knn_ivf", "sf0.01"), ("knn_ivf", "sf0.1"), ("knn_lsh", "sf0.01"), ("knn_lsh", "sf0.1")])
+def test_index_query_finds_nine_of_ten(spark, name, size):
     """The registered setting against brute force."""
     rows = spark.read.parquet(f"/root/testdata/{size}/embeddings.parquet")
-    got = {(r["query_id"], r["doc_id"]) for r in catalogue.QUERIES["knn_ivf"](spark, f"/root/testdata/{size}").collect()}
+    got = {(r["query_id"], r["doc_id"]) for r in catalogue.QUERIES[name](spark, f"/root/testdata/{size}").collect()}
     asks = rows.join(spark.createDataFrame([(q,) for q in {q for q, _ in got}], "vec_id long"), "vec_id", "left_semi")
     want = {(r["query_id"], r["doc_id"]) for r in knn.exact(rows, asks).collect()}
     assert len(got & want) >= 0.9 * len(want)
@@ -139,6 +138,65 @@ def test_crawl(spark):
     assert sorted(r["status"] for r in crawl.with_sources(pages, src, src.where("false")).collect()) == ["missing", "missing", "ok"]
 
 
+def test_crawl_goes_on_to_the_end_of_a_chain(spark):
+    pages = spark.createDataFrame([(f"https://s/{n}.html", f'<a href=\'{n + 1}.html\'>x</a>') for n in range(54)], "url string, html string")
+    got = crawl.crawl(pages, ["https://s/0.html"], "https://s/").collect()
+    assert [r["depth"] for r in got] == list(range(55))
+    assert crawl.crawl(pages, ["https://s/0.html"], "https://s/", max_seen=7).count() == 7
+
+
+def test_links_in_any_quotes_and_dot_segments(spark):
+    html = """<a href="a">1</a><a class=x href='../b?q#f'>2</a><a href=../../../c>3</a><a href="./d/./e/..">4</a><a href="//h/x">5</a><a href="?q=1">6</a>"""
+    got = crawl.links(spark.createDataFrame([("https://s/x/y/z.html", html)], "url string, html string")).collect()
+    assert [r["target"] for r in got] == ["https://s/x/y/a", "https://s/x/b?q#f", "https://s/c", "https://s/x/y/d/", "https://h/x", "https://s/x/y/z.html?q=1"]
+
+
+def test_neighbours_of_odd_vectors(spark):
+    nan = float("nan")
+    rows = [(0, [1.0]), (1, [1.0, 2.0, 3.0]), (2, [5.0, 5.0]), (3, None), (4, [None, 1.0]), (5, [nan]), (None, [1.0]), (6, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    one = df.where("vec_id = 2")
+    want = [(2, 0.0), (1, 34.0), (0, 41.0), (6, 50.0)]
+    for found in (knn.exact(df, one), knn.by_cells(df, one), knn.by_hashing(df, one, width=100.0)):
+        assert [(r["doc_id"], r["distance"]) for r in found.orderBy("rank").collect()] == want
+    none = df.limit(0)
+    for a, b in ((none, one), (df, none), (none, none)):
+        assert knn.exact(a, b).count() == knn.by_cells(a, b, recall=0.9).count() == knn.by_hashing(a, b).count() == 0
+
+
+def test_first_pages_stop(spark):
+    page = lambda n, size, on: (n, None if size is None else [(n * 10 + i,) for i in range(size)], on)
+    schema = "page long, nodes array<struct<id: long>>, has_next boolean"
+    ids = lambda pages, most: [r["node"]["id"] for r in readers.first_pages(spark.createDataFrame(pages, schema), most).orderBy("ordinal").collect()]
+    assert ids([page(0, 2, True), page(1, 2, True), page(2, 2, True)], 3) == [0, 1, 10, 11]
+    assert ids([page(0, 2, True), page(1, 1, False), page(2, 2, True)], 100) == [0, 1, 10]
+    assert ids([page(0, 2, True), page(1, None, None), page(2, 2, True)], 100) == [0, 1]
+
+
+def test_discussion_pages(spark, tmp_path):
+    node = lambda t: {"title": t, "url": "u", "bodyText": "b", "answer": None, "comments": {"nodes": [{"author": {"login": "a"}, "bodyText": "solved"}]}}
+    for name, titles, more in (("p1.json", ["x", "y"], True), ("p2.json", ["z"], False)):
+        answer = {"data": {"repository": {"discussions": {"pageInfo": {"hasNextPage": more, "endCursor": "c"}, "nodes": [node(t) for t in titles]}}}}
+        (tmp_path / name).write_text(json.dumps(answer, indent=1))
+    got = readers.discussion_pages(spark, str(tmp_path)).orderBy("ordinal").collect()
+    assert [r["title"] for r in got] == ["x", "y", "z"] and got[0]["comments"]["nodes"][0]["bodyText"] == "solved"
+
+
+def test_evaluation_is_written(spark, tmp_path):
+    metrics = spark.createDataFrame([(1, "q", "t", 1.0, 0.5, 0.25), (2, "r", "u", 0.0, 0.5, 0.75)], "query_id long, query string, query_type string, mrr double, average_precision double, latency double")
+    for c in ("precision", "recall", "ndcg"):
+        for k in (1, 5, 10):
+            metrics = metrics.withColumn(f"{c}_at_{k}", F.lit(0.5))
+    means = evaluate.aggregates(metrics)
+    sinks.evaluation(metrics, means, str(tmp_path / "e"))
+    assert spark.read.json(str(tmp_path / "e/per_query")).count() == 2
+    total = spark.read.json(str(tmp_path / "e/aggregate")).first()
+    assert total["mrr"] == 0.5 and total["latency_mean"] == 0.5 and total["latency_std"] == 0.25
+    assert {r["query_type"] for r in spark.read.json(str(tmp_path / "e/by_type")).collect()} == {"t", "u"}
+    line = sinks.report_lines(means).where("query_type IS NULL").first()["line"]
+    assert line.startswith("ALL (2 queries), MRR 0.5000") and line.endswith("latency 500.00 +- 250.00 ms")
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, "a", "train"), (2, "b", "test")], "id long, v string, part string")
     sinks.json_lines(df, str(tmp_path / "j"), "part")
