@@ -60,7 +60,7 @@ FLUSH = 1 << 18  # keys a task holds before it packs them
 FINE = 8
 PAIRS = 1 << 18  # candidate pairs looked at together
 ONCE = 8  # on the logarithmic scale: words counted once
-FIRST = 2  # candidates of a line that are verified at once
+FIRST = 1  # candidates of a line that are verified at once
 WIDE = 2  # bits of the wide sketch for each word of a line
 BLOCK = 1024  # lines of a bucket that an open line is compared with at once
 SETS, KEYS, ROWS = 0, 1, 2
@@ -761,5 +761,5 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = docs.withColumn(key, F.col(id_col).cast("long"))
     out = T.StructType([*docs.schema.fields, *extra])
     whole = keyed.mapInArrow(split(False), out)
-    some = keyed.mapInArrow(split(True), keyed.schema).join(lists, key, "left").select(*docs.columns, late)
+    some = keyed.mapInArrow(split(True), keyed.schema).join(lists.hint("merge"), key, "left").select(*docs.columns, late)
     return whole.union(some.mapInArrow(rewrite, out))
