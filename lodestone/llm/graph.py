@@ -4,8 +4,9 @@ Each round every vertex is merged into the neighbour with the smallest hash and
 the links are rewritten between the merged vertices, so that the number of
 vertices falls by a constant factor a round whatever the ids are.  Before the
 first round each task contracts its own links with numpy, which already turns a
-large group into a few stars.  Nothing is collected; the loop ends when no
-links are left.
+large group into a few stars.  Nothing is collected.  Once ``ONE_TASK`` links or
+fewer are left, a bounded number, one task contracts them to the end, with the same
+result; else the loop ends when no links are left.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from .common import saved
 
 _ROWS = 1_000_000
+ONE_TASK = 250_000
 
 
 def components_of(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -48,6 +50,14 @@ def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[label[keep]], ids[keep]
 
 
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All links of a task as (v, to): each vertex to the smallest it reaches."""
+    ends = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if ends:
+        to, v = stars(*(np.concatenate(x) for x in zip(*ends, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(to)], names=["v", "to"])
+
+
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -74,7 +84,10 @@ def connected_components(links: DataFrame) -> DataFrame:
     edges = saved(edges.where("a <> b").mapInArrow(_contract, "a long, b long").distinct())
     steps: list[DataFrame] = []
     rounds = 0
-    while not edges.isEmpty():
+    while left := edges.count():
+        if left <= ONE_TASK:
+            steps.append(saved(edges.coalesce(1).mapInArrow(_whole, "v long, to long")))
+            break
         rounds += 1
         rank = lambda c: F.struct(F.xxhash64(c, F.lit(rounds)).alias("h"), c.alias("x"))
         both = edges.select(F.col("a").alias("v"), F.col("b").alias("w")).union(edges.select(F.col("b"), F.col("a")))
