@@ -434,7 +434,9 @@ def test_embedding_edges(spark):
 # ------------------------------------------------------------ components and pipeline
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [250_000, 40, 0])
+def test_components(spark, monkeypatch, one_task):
+    monkeypatch.setattr(graph, "ONE_TASK", one_task)
     rng = random.Random(8)
     edges = [(i, i + 1) for i in range(500)] + [(1000, 1000 + i) for i in range(300)] + [(rng.randrange(2000, 3000), rng.randrange(2000, 3000)) for _ in range(700)] + [(5000, 5000)]
     got = {r["id"]: r["component_id"] for r in graph.connected_components(spark.createDataFrame(edges, "a long, b long").repartition(6)).collect()}
