@@ -31,9 +31,10 @@ def term_frequencies(tokens: DataFrame) -> DataFrame:
 
 
 def idf(df_table: DataFrame, total: DataFrame) -> DataFrame:
-    """(term, df, idf_raw, idf): a negative idf becomes a share of the mean."""
+    """(term, df, idf_raw, idf): a negative idf becomes a share of the mean.  The
+    table of terms is read twice, so it is written out."""
     raw = df_table.crossJoin(F.broadcast(total.select("n_docs")))  # one row on the right
-    raw = raw.withColumn("idf_raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    raw = stored(raw.withColumn("idf_raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)))
     mean = raw.agg(F.avg("idf_raw").alias("mean_idf"))
     floored = F.when(F.col("idf_raw") < 0, F.lit(EPSILON) * F.col("mean_idf")).otherwise(F.col("idf_raw"))
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", "idf_raw", floored.alias("idf"))
