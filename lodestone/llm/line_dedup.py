@@ -18,13 +18,14 @@ those of pairs.
 Within a bucket, lines are candidates if their lengths and positions allow a match
 (a window over the lines by length), a parity sketch doesn't forbid it, and they do
 not have the word before the key's in common too, in whose bucket they meet.  A
-line keeps its ``keep`` nearest candidates before it.  A wider parity sketch drops
+line keeps its ``keep`` nearest candidates before it: one, so a group of similar
+lines makes no more pairs than it has lines.  A wider parity sketch drops
 more of them; then the ``FIRST`` nearest of each line are verified by whole sets,
 then the others of the lines without a match.  A line that had more candidates in
 a bucket, or stands in a bucket of more than ``whole`` lines, where all are compared
-with the ``lead`` earliest, is open: if it found no match, a last round compares it
-with every line of that bucket and of the others of the key's first word that have
-open lines, in blocks.  A bucket that is large within one task
+with the ``lead`` earliest, is open.  For the open lines that found no match, which
+are few, the texts are read again for all lines of their buckets, and a last round
+compares them in blocks, the buckets of one first word together.  A bucket that is large within one task
 is compared there and sends its earliest lines on, so that no task gathers a group.
 Equal sets need no candidates: all but the first are removed.
 
@@ -72,7 +73,7 @@ class Limits(NamedTuple):
     hot: int = 80  # rarity of frequent words, on the logarithmic scale: 1,023 counted
     whole: int = 1024  # lines of a bucket that are all compared
     lead: int = 64  # earliest lines of a larger one
-    keep: int = 4  # candidates of a line in a bucket
+    keep: int = 1  # candidates of a line in a bucket
     local: int = 256  # lines of a bucket within one task, of which half travel on
 
 
@@ -214,6 +215,11 @@ def line_spots(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
     return spots(mix(doc.astype(_U)) + line.astype(_U))
 
 
+def word_spots(key: np.ndarray) -> np.ndarray:
+    """By the upper bits, which a key has from its first word."""
+    return (key.astype(_U) >> _U(64 - BITS.bit_length() + 1)).astype(np.int64)
+
+
 def repeats(sets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The order by set, document and line, and within it which rows are the first
     of their set and which are other lines than that."""
@@ -224,34 +230,64 @@ def repeats(sets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, fresh, (s["doc"] != s["doc"][lead]) | (s["line"] != s["line"][lead])
 
 
-def _pack(counts, percent: int, least: int, parts: int, limits: Limits):
+def keys_of(first: np.ndarray, n: np.ndarray, h: np.ndarray, rare: np.ndarray, percent: int, hot: int) -> tuple[np.ndarray, ...]:
+    """For lines of ``n`` words from ``first``: line, position and key, and a
+    hash of the prefix's word before the key's, or between its two; 0: none."""
+    own = (percent * n + 99) // 100
+    prefix = n - own + 1
+    line = np.repeat(np.arange(len(n)), prefix)
+    at = np.arange(len(line)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
+    word = first[line] + at
+    much = rare[word] >= hot
+    single = np.flatnonzero(~much & (rare[word] > ONCE))
+    before = lambda of, some: np.where(some, ((h[np.maximum(of - 1, 0)] >> _U(8)) & _U(0xFFFFFFFF)) | _U(1), _U(0))
+    # A key's upper half is that of its first word, by which open lines are kept.
+    upper = lambda of: mix(h[of]) & _U(0xFFFFFFFF00000000)
+    parts_ = [(line[single], at[single], mix(h[word[single]]), before(word[single], at[single] > 0))]
+    much = np.flatnonzero(much)
+    if len(much):
+        behind = (prefix[line] - at)[much]  # words behind, in the prefix longer by one
+        src = np.repeat(much, behind)
+        step = np.arange(len(src)) - np.repeat(np.cumsum(behind) - behind, behind) + 1
+        inside = at[src] + step < n[line[src]]
+        src, step = src[inside], step[inside]
+        pv = np.where(step > 1, before(word[src] + step, step > 1), before(word[src], at[src] > 0))
+        parts_.append((line[src], at[src], upper(word[src]) | (mix(h[word[src]] * _U(3) + mix(h[word[src] + step])) >> _U(32)), pv))
+    return tuple(np.concatenate(x) for x in zip(*parts_, strict=True))
+
+
+def keyed(lines: Lines, data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, percent: int, least: int, limits: Limits, base: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sets of the lines of ``least`` words, entries for the keys of those that are
+    the first of their set, and the set of each entry.  ``base``: the number of
+    the first line of each row, where that is not 0."""
     hot = limits.hot if (percent * least + 99) // 100 >= 2 else 256  # a match then shares two words at least
+    row, number, first, h, rare = lines.cut(data, offsets)
+    n = np.diff(first)
+    use = np.flatnonzero(n >= least)
+    sets = np.empty(len(use), _SET)
+    if not len(use):
+        return sets, np.empty(0, _KEY), use
+    # Lines without words have no run of their own here.
+    solid = np.flatnonzero(n > 0)
+    place_in = np.searchsorted(solid, use)
+    sets["s1"] = np.add.reduceat(h, first[solid])[place_in]
+    sets["s2"] = np.add.reduceat(mix(h), first[solid])[place_in]
+    sets["doc"], sets["line"] = ids[row[use]], number[use] + (base[row[use]] if base is not None else 0)
+    bit, low = _U(1) << (h >> _U(3) & _U(63)), (h >> _U(9) & _U(1)) == 0
+    parity = [np.bitwise_xor.reduceat(np.where(half, bit, _U(0)), first[solid])[place_in] for half in (low, ~low)]
+    order, fresh, _ = repeats(sets)
+    fresh = order[fresh]
+    size = n[use[fresh]]
+    line, at, key, pv = keys_of(first[use[fresh]], size, h, rare, percent, hot)
+    entry = np.empty(len(key), _KEY)
+    entry["k"], entry["at"], entry["n"], entry["pv"], entry["tail"] = key, at, size[line], pv, 0
+    line = fresh[line]
+    entry["set"], entry["sk"], entry["sl"] = sets["s1"][line] & _U(0xFFFFFFFF), parity[0][line], parity[1][line]
+    entry["doc"], entry["line"] = sets["doc"][line], sets["line"][line]
+    return sets, entry, line
 
-    def keys_of(first: np.ndarray, n: np.ndarray, h: np.ndarray, rare: np.ndarray) -> tuple[np.ndarray, ...]:
-        """For lines of ``n`` words from ``first``: line, position and key, and a
-        hash of the prefix's word before the key's, or between its two; 0: none."""
-        own = (percent * n + 99) // 100
-        prefix = n - own + 1
-        line = np.repeat(np.arange(len(n)), prefix)
-        at = np.arange(len(line)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
-        word = first[line] + at
-        much = rare[word] >= hot
-        single = np.flatnonzero(~much & (rare[word] > ONCE))
-        before = lambda of, some: np.where(some, ((h[np.maximum(of - 1, 0)] >> _U(8)) & _U(0xFFFFFFFF)) | _U(1), _U(0))
-        # A key's upper half is that of its first word, by which open lines are kept.
-        upper = lambda of: mix(h[of]) & _U(0xFFFFFFFF00000000)
-        parts_ = [(line[single], at[single], mix(h[word[single]]), before(word[single], at[single] > 0))]
-        much = np.flatnonzero(much)
-        if len(much):
-            behind = (prefix[line] - at)[much]  # words behind, in the prefix longer by one
-            src = np.repeat(much, behind)
-            step = np.arange(len(src)) - np.repeat(np.cumsum(behind) - behind, behind) + 1
-            inside = at[src] + step < n[line[src]]
-            src, step = src[inside], step[inside]
-            pv = np.where(step > 1, before(word[src] + step, step > 1), before(word[src], at[src] > 0))
-            parts_.append((line[src], at[src], upper(word[src]) | (mix(h[word[src]] * _U(3) + mix(h[word[src] + step])) >> _U(32)), pv))
-        return tuple(np.concatenate(x) for x in zip(*parts_, strict=True))
 
+def _pack(counts, percent: int, least: int, parts: int, limits: Limits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines = Lines(counts.value)
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # sets, keys, the set of each key
@@ -283,29 +319,9 @@ def _pack(counts, percent: int, least: int, parts: int, limits: Limits):
         for batch in batches:
             for lo, hi, data, offsets in text_slices(batch.column(1)):
                 ids = batch.column(0).slice(lo, hi - lo).to_numpy()
-                row, number, first, h, rare = lines.cut(data, offsets)
-                n = np.diff(first)
-                use = np.flatnonzero(n >= least)
-                if not len(use):
+                sets, entry, line = keyed(lines, data, offsets, ids, percent, least, limits)
+                if not len(sets):
                     continue
-                sets = np.empty(len(use), _SET)
-                # Lines without words have no run of their own here.
-                solid = np.flatnonzero(n > 0)
-                place_in = np.searchsorted(solid, use)
-                sets["s1"] = np.add.reduceat(h, first[solid])[place_in]
-                sets["s2"] = np.add.reduceat(mix(h), first[solid])[place_in]
-                sets["doc"], sets["line"] = ids[row[use]], number[use]
-                bit, low = _U(1) << (h >> _U(3) & _U(63)), (h >> _U(9) & _U(1)) == 0
-                parity = [np.bitwise_xor.reduceat(np.where(half, bit, _U(0)), first[solid])[place_in] for half in (low, ~low)]
-                order, fresh, _ = repeats(sets)
-                fresh = order[fresh]
-                size = n[use[fresh]]
-                line, at, key, pv = keys_of(first[use[fresh]], size, h, rare)
-                entry = np.empty(len(key), _KEY)
-                entry["k"], entry["at"], entry["n"], entry["pv"], entry["tail"] = key, at, size[line], pv, 0
-                line = fresh[line]
-                entry["set"], entry["sk"], entry["sl"] = sets["s1"][line] & _U(0xFFFFFFFF), parity[0][line], parity[1][line]
-                entry["doc"], entry["line"] = sets["doc"][line], sets["line"][line]
                 held.append((sets, entry, line))
                 total += len(entry) + len(sets)
                 if total >= FLUSH:
@@ -397,9 +413,9 @@ def _nearest(entries: np.ndarray, late: np.ndarray, early: np.ndarray, keep: int
 
 
 def meet(entries: np.ndarray, percent: int, limits: Limits) -> Iterator[pa.RecordBatch]:
-    """What the buckets of ``entries`` yield: candidate pairs, and the members of
-    those with an open line.  In a bucket that lines have stayed away from, those
-    are open that have so many before them that some of them can have stayed."""
+    """What the buckets of ``entries`` yield: for each line its nearest candidates,
+    or that it is open without one.  In a bucket that lines have stayed away from,
+    those are open that have so many before them that some of them can have stayed."""
     tails = np.unique(entries["k"][entries["tail"] > 0])
     entries, heads, sizes = runs_by(entries)
     if not len(entries):
@@ -443,12 +459,12 @@ def meet(entries: np.ndarray, percent: int, limits: Limits) -> Iterator[pa.Recor
             passed(i[i > j], j[i > j])
     if sum(len(x) for x, _ in found):
         nearest()
-        b, a = (entries[x] for x in found[0])
-        some = np.unique(np.rec.fromarrays([b["doc"], b["line"], a["doc"], a["line"]], names=["doc", "line", "doc0", "line0"]))
-        yield _rows(PAIR, len(some), **{c: some[c] for c in some.dtype.names})
-    held = np.repeat(np.add.reduceat(is_open, heads) > 0, sizes)
-    if held.any():
-        yield _members(entries[held], is_open[held])
+        late, early = found[0]
+        b, a = entries[late], entries[early]
+        yield _rows(PAIR, len(b), doc=b["doc"], line=b["line"], doc0=a["doc"], line0=a["line"], key=b["k"].astype(np.int64), open=is_open[late])
+        is_open[late] = False
+    if is_open.any():
+        yield _open(entries[is_open])
 
 
 def met_here(entries: np.ndarray, percent: int, limits: Limits) -> tuple[np.ndarray, list[pa.RecordBatch]]:
@@ -469,13 +485,13 @@ def met_here(entries: np.ndarray, percent: int, limits: Limits) -> tuple[np.ndar
     many["tail"] |= np.repeat(sizes > limits.local, sizes)
     stays = many[~travels]
     if len(stays):
-        out.append(_members(stays, np.ones(len(stays), bool)))
+        out.append(_open(stays))
     return np.concatenate([entries[~inside], many[travels]]), out
 
 
-EQUAL, PAIR, MEMBER = 0, 1, 2
-_FOUND = "kind int, doc long, line int, doc0 long, line0 int, key long, n int, sk long, sl long, open boolean"
-_KINDS = {"doc": pa.int64(), "line": pa.int32(), "doc0": pa.int64(), "line0": pa.int32(), "key": pa.int64(), "n": pa.int32(), "sk": pa.int64(), "sl": pa.int64(), "open": pa.bool_()}
+EQUAL, PAIR, OPEN = 0, 1, 2
+_FOUND = "kind int, doc long, line int, doc0 long, line0 int, key long, open boolean"
+_KINDS = {"doc": pa.int64(), "line": pa.int32(), "doc0": pa.int64(), "line0": pa.int32(), "key": pa.int64(), "open": pa.bool_()}
 
 
 def _rows(kind: int, size: int, **cols: np.ndarray) -> pa.RecordBatch:
@@ -484,8 +500,8 @@ def _rows(kind: int, size: int, **cols: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=["kind", *_KINDS])
 
 
-def _members(some: np.ndarray, is_open: np.ndarray) -> pa.RecordBatch:
-    return _rows(MEMBER, len(some), key=(some["k"] >> _U(32)).astype(np.int64), doc=some["doc"], line=some["line"], n=some["n"], sk=some["sk"].astype(np.int64), sl=some["sl"].astype(np.int64), open=is_open)
+def _open(some: np.ndarray) -> pa.RecordBatch:
+    return _rows(OPEN, len(some), key=some["k"].astype(np.int64), doc=some["doc"], line=some["line"], open=np.ones(len(some), bool))
 
 
 def packed_rows(rows: pa.RecordBatch) -> bytes:
@@ -516,6 +532,36 @@ def _match(percent: int, limits: Limits):
     return run
 
 
+def _members(counts, starting, wanted, percent: int, least: int, limits: Limits):
+    """The lines of the wanted buckets by the key's first word, one for each set and
+    slice.  Only lines with a word that such a key starts with are cut."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lines = Lines(counts.value)
+        begins, full = (np.unpackbits(np.frombuffer(x.value, np.uint8)).view(bool) for x in (starting, wanted))
+        for batch in batches:
+            for lo, hi, data, offsets in text_slices(batch.column(1)):
+                ids = batch.column(0).slice(lo, hi - lo).to_numpy()
+                at, row, number = lines_of(data, offsets)
+                data = lowered(data)
+                starts, ends, first = words(data, at)
+                hit = np.flatnonzero(begins[word_spots(mix(word_hashes(data, starts, ends)))])
+                use = np.unique(np.searchsorted(first, hit, side="right") - 1)
+                if not len(use):
+                    continue
+                own = np.concatenate([data[at[i] : at[i + 1]] for i in use.tolist()])
+                # Each line is a row here; what follows its newline is a line without words.
+                _, some, _ = keyed(lines, own, np.append(0, np.cumsum(at[use + 1] - at[use])), ids[row[use]], percent, least, limits, number[use])
+                some = some[full[spots(some["k"])]]
+                same = np.rec.fromarrays([some["k"] >> _U(32), some["doc"], some["line"]])
+                some = some[np.unique(same, return_index=True)[1]]
+                cols = [(some["k"] >> _U(32)).astype(np.int64), some["doc"], some["line"], some["n"], some["sk"].astype(np.int64), some["sl"].astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names=["key", "doc", "line", "n", "sk", "sl"])
+            give_back()
+
+    return run
+
+
 def _cross(percent: int):
     """Pairs of an open line, one of those that ask, and an earlier line of a block
     that sizes and sketches allow."""
@@ -537,21 +583,22 @@ def _cross(percent: int):
     return run
 
 
-def _bitmap(kind: str):
+def _bitmap(spots_of):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(BITS, bool)
         for batch in batches:
             cols = [c.to_numpy() for c in batch.columns]
-            bits[line_spots(*cols) if kind == "line" else spots(cols[0])] = True
+            bits[spots_of(*cols)] = True
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
 
     return run
 
 
-def bitmap(rows: DataFrame, kind: str):
-    """A bitmap of fixed size, broadcast: of lines (doc, line) or of documents."""
+def bitmap(rows: DataFrame, spots_of):
+    """A bitmap of fixed size, broadcast: of lines (doc, line), of documents, of
+    keys or of their first words."""
     total = np.zeros(BITS // 8, np.uint8)
-    for row in rows.coalesce(16).mapInArrow(_bitmap(kind), "bits binary").collect():  # 16 MB at most
+    for row in rows.coalesce(16).mapInArrow(_bitmap(spots_of), "bits binary").collect():  # 16 MB at most
         total |= np.frombuffer(row["bits"], np.uint8)
     return rows.sparkSession.sparkContext.broadcast(total.tobytes())
 
@@ -651,14 +698,14 @@ def _matching(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """(doc, line) of the lines that match one of theirs in ``pairs``, a table
     that was written out."""
     kinds = "doc long, line int, n int, sk binary, body binary"
-    sets = saved(docs.mapInArrow(_sets(bitmap(_ends(pairs), "line")), kinds))
+    sets = saved(docs.mapInArrow(_sets(bitmap(_ends(pairs), line_spots)), kinds))
     near = pairs.join(sets.select("doc", "line", "n", "sk"), ["doc", "line"]).join(_early(sets, "n", "sk"), ["doc0", "line0"])
     near = near.select(*_ENDS, "n", "n0", "sk", "sk0").mapInArrow(_closer(percent), "doc long, line int, doc0 long, line0 int, far double")
     nearest = Window.partitionBy("doc", "line").orderBy("far", "doc0", "line0")
     near = saved(near.withColumn("place", F.row_number().over(nearest)))
 
     def exact(some: DataFrame) -> DataFrame:
-        own = sets.select("doc", "line", "body").mapInArrow(_of_lines(bitmap(_ends(some), "line")), "doc long, line int, body binary")
+        own = sets.select("doc", "line", "body").mapInArrow(_of_lines(bitmap(_ends(some), line_spots)), "doc long, line int, body binary")
         full = some.join(own, ["doc", "line"]).join(_early(own, "body"), ["doc0", "line0"])
         return saved(full.select("doc", "line", "body", "body0").mapInArrow(_exact(percent), "doc long, line int").distinct())
 
@@ -675,16 +722,19 @@ def removals(docs: DataFrame, percent: int, least: int, limits: Limits = LIMITS)
     packed = docs.mapInArrow(_pack(counts, percent, least, FINE * shuffle_parts(spark), limits), "part long, kind byte, body binary")
     packed = packed.repartition(shuffle_parts(spark), "part").sortWithinPartitions("part")
     found = saved(packed.mapInArrow(_match(percent, limits), _FOUND), ["kind"])
-    equal, pairs, members = (found.where(F.col("kind") == k) for k in (EQUAL, PAIR, MEMBER))
+    equal, pairs = (found.where(F.col("kind") == k) for k in (EQUAL, PAIR))
     equal = equal.select("doc", "line").distinct()
     gone = equal.union(_matching(docs, saved(pairs.select(*_ENDS).distinct().join(equal, ["doc", "line"], "left_anti")), percent)).distinct()
-    if members.isEmpty():
-        return gone
     gone = saved(gone)
+    asking = saved(found.where("open").select("key", "doc", "line").join(gone, ["doc", "line"], "left_anti").distinct())
+    if asking.isEmpty():
+        return gone
+    some = _members(counts, bitmap(asking.select("key"), word_spots), bitmap(asking.select("key"), spots), percent, least, limits)
     own = ["key", "doc", "line", "n", "sk", "sl"]
-    members = members.groupBy(*own).agg(F.max("open").alias("open"))
-    left = members.join(gone.withColumn("gone", F.lit(True)), ["doc", "line"], "left")
-    left = saved(left.select(*own, (F.col("open") & F.col("gone").isNull()).alias("open")))
+    members = docs.mapInArrow(some, "key long, doc long, line int, n int, sk long, sl long").distinct()
+    asking = asking.select(F.shiftrightunsigned("key", 32).alias("key"), "doc", "line").distinct().withColumn("open", F.lit(True))
+    left = members.join(asking, ["key", "doc", "line"], "left")
+    left = saved(left.select(*own, F.coalesce("open", F.lit(False)).alias("open")))
     part = lambda s: F.sum(F.pmod(F.xxhash64("doc", "line", "open", F.lit(s)), F.lit(1 << 31)))
     keys = left.groupBy("key").agg(F.count(F.lit(1)).alias("n_"), F.max("open").alias("open"), part(1).alias("s1"), part(2).alias("s2")).where("open")
     # Of the buckets with the same lines one is enough.
@@ -712,7 +762,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     late, key = clean_name(docs, "late_"), clean_name(docs, "key_")
     lists = removals(slim, percent, least, limits).groupBy(F.col("doc").alias(key)).agg(F.collect_list("line").alias(late))  # at most a document's lines
     lists = saved(lists)
-    touched = bitmap(lists.select(key), "doc")
+    touched = bitmap(lists.select(key), spots)
     at = docs.columns.index(text_col)
     extra = [T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())] if counted else []
 

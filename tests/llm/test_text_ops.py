@@ -6,9 +6,13 @@ import re
 import struct
 import subprocess
 import sys
+from collections import Counter
 from pathlib import Path
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -156,6 +160,41 @@ def test_line_dedup_by_pairs_of_words_and_open_lines(spark, percent, least, seed
     assert len(got) == len({tuple(r) for r in got})
 
 
+def test_line_dedup_makes_no_more_rows_than_a_group_has_lines():
+    """In a bucket a line makes one row, however many lines before it are similar."""
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(24)]
+
+    class Held:
+        value = np.full(line_dedup.COUNTERS, 30, np.uint8)
+
+    def rows(n):
+        texts = [" ".join([f"own{i}" if j == k else w for j, w in enumerate(base)]) for i, k in enumerate(rng.choices(range(24), k=n))]
+        batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(texts)], names=["id", "text"])
+        made = Counter()
+        for out in line_dedup._pack(Held, 80, 5, 8, line_dedup.LIMITS)(iter([batch])):
+            out = out.take(pc.sort_indices(out["part"]))
+            for x in line_dedup._match(80, line_dedup.LIMITS)(iter([out])):
+                made.update(zip(x["doc"].to_pylist(), x["key"].to_pylist(), strict=True))
+        return made
+
+    few, many = rows(5), rows(25)
+    assert max(many.values()) == 1
+    assert len({d for d, _ in many}) == 24  # all but the first have a candidate
+    assert many.total() <= 8 * few.total()
+
+
+def test_line_dedup_reads_buckets_of_open_lines_again(spark):
+    """Each line of a large family is asked for by frequent pairs of words in
+    several buckets, and only its farther candidates match."""
+    rng = random.Random(9)
+    base = rng.sample(WORDS, 40)
+    texts = [" ".join(base[: 40 - k] + rng.sample(WORDS, k)) for k in rng.choices([3, 5, 6, 7, 8, 9], k=120)]
+    df = spark.createDataFrame([(i, "x y\n\n" + t) for i, t in enumerate(texts)], DOCS).repartition(3)
+    got = line_dedup.removals(df.select(F.col("doc_id").alias("id"), "text"), 80, 5, TIGHT).collect()
+    assert sorted(map(tuple, got)) == sorted((d, 2) for d, _ in removed_by_hand(texts, 80, 5))
+
+
 def test_a_worker_of_line_dedup_stays_small(spark):
     """One task reads 25 MB of text in one go and holds a few slices of it."""
     code = (
