@@ -706,7 +706,8 @@ def _matching(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 
     def exact(some: DataFrame) -> DataFrame:
         own = sets.select("doc", "line", "body").mapInArrow(_of_lines(bitmap(_ends(some), line_spots)), "doc long, line int, body binary")
-        full = some.join(own, ["doc", "line"]).join(_early(own, "body"), ["doc0", "line0"])
+        # Merged at every size: a broadcast would put both Python steps, and so two workers, into one task.
+        full = some.hint("merge").join(own, ["doc", "line"]).join(_early(own, "body").hint("merge"), ["doc0", "line0"])
         return saved(full.select("doc", "line", "body", "body0").mapInArrow(_exact(percent), "doc long, line int").distinct())
 
     gone = exact(near.where(F.col("place") <= FIRST).select(*_ENDS))

@@ -195,6 +195,30 @@ def test_line_dedup_reads_buckets_of_open_lines_again(spark):
     assert sorted(map(tuple, got)) == sorted((d, 2) for d, _ in removed_by_hand(texts, 80, 5))
 
 
+def python_steps(node, above=0):
+    """The most Python steps that one task of a plan runs."""
+    name = node.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return python_steps(node.initialPlan(), above)
+    here = 0 if "Exchange" in name else above + (name == "MapInArrow")
+    below = [node.children().apply(i) for i in range(node.children().size())]
+    return max([here, *(python_steps(x, here) for x in below)])
+
+
+@pytest.mark.parametrize("module", [line_dedup, ngram_join])
+def test_a_task_has_one_python_worker(spark, module, monkeypatch):
+    most, write = [], module.saved
+
+    def saved(df, *more):
+        most.append(python_steps(df._jdf.queryExecution().executedPlan()))
+        return write(df, *more)
+
+    monkeypatch.setattr(module, "saved", saved)
+    df = spark.createDataFrame(list(enumerate(near_texts(3))), DOCS)
+    (module.dedup_lines if module is line_dedup else module.jaccard_components)(df).collect()
+    assert max(most) == 1
+
+
 def test_a_worker_of_line_dedup_stays_small(spark):
     """One task reads 25 MB of text in one go and holds a few slices of it."""
     code = (
