@@ -202,8 +202,9 @@ def word_counts(docs: DataFrame) -> np.ndarray:
     """The rarity table over all texts, COUNTERS bytes whatever their size."""
     sums = docs.select("text").mapInArrow(_count, "slice long, body binary").repartition("slice").sortWithinPartitions("slice")
     out = np.zeros((COUNTERS // SLICE, SLICE), np.uint8)
-    for row in sums.mapInArrow(_slices, "slice long, body binary").collect():  # COUNTERS bytes in all
-        out[row["slice"]] = np.frombuffer(row["body"], np.uint8)
+    for batch in sums.mapInArrow(_slices, "slice long, body binary").toArrow().to_batches():  # COUNTERS bytes in all
+        for slot, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            out[slot] = np.frombuffer(body.as_buffer(), np.uint8)
     return out.ravel()
 
 
@@ -589,18 +590,32 @@ def _bitmap(spots_of):
         for batch in batches:
             cols = [c.to_numpy() for c in batch.columns]
             bits[spots_of(*cols)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
+        yield _bits(np.packbits(bits))
 
     return run
 
 
+def _bits(packed: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([pa.compress(packed.tobytes(), "zstd", asbytes=True)], pa.binary())], names=["bits"])
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(BITS // 8, np.uint8)
+    for batch in batches:
+        for body in batch.column(0):
+            total |= np.frombuffer(pa.decompress(body.as_buffer(), len(total), "zstd"), np.uint8)
+    yield _bits(total)
+
+
 def bitmap(rows: DataFrame, spots_of):
     """A bitmap of fixed size, broadcast: of lines (doc, line), of documents, of
-    keys or of their first words."""
-    total = np.zeros(BITS // 8, np.uint8)
-    for row in rows.coalesce(16).mapInArrow(_bitmap(spots_of), "bits binary").collect():  # 16 MB at most
-        total |= np.frombuffer(row["bits"], np.uint8)
-    return rows.sparkSession.sparkContext.broadcast(total.tobytes())
+    keys or of their first words.  One task unites those of at most 16 tasks, so one
+    of 1 MB reaches the driver: 16 at once, and their copies, swelled its heap."""
+    parts = rows.coalesce(16).mapInArrow(_bitmap(spots_of), "bits binary").repartition(1)
+    total = bytes(BITS // 8)
+    for body in parts.mapInArrow(_united, "bits binary").toArrow().column(0):  # one, or none without a task
+        total = pa.decompress(body.as_buffer(), len(total), "zstd", asbytes=True)
+    return rows.sparkSession.sparkContext.broadcast(total)
 
 
 def wide(h: np.ndarray) -> bytes:

@@ -219,6 +219,30 @@ def test_a_task_has_one_python_worker(spark, module, monkeypatch):
     assert max(most) == 1
 
 
+def test_one_bitmap_reaches_the_driver(spark, monkeypatch):
+    """However many tasks make its parts: sixteen of 1 MB at once, with their copies, swelled the driver's heap."""
+    sizes = []
+
+    def measured(take):
+        def run(df):
+            got = take(df)
+            sizes.append(got.nbytes if isinstance(got, pa.Table) else sum(len(r["bits"]) for r in got))
+            return got
+
+        return run
+
+    rows = spark.range(0, 20_000, 1, 16)
+    for name in ("collect", "toArrow"):
+        monkeypatch.setattr(type(rows), name, measured(getattr(type(rows), name)))
+    got = line_dedup.bitmap(rows, line_dedup.spots).value
+    want = np.zeros(line_dedup.BITS, bool)
+    want[line_dedup.spots(np.arange(20_000))] = True
+    assert got == np.packbits(want).tobytes()
+    assert 0 < sum(sizes) <= line_dedup.BITS // 8 + 4096
+    assert line_dedup.bitmap(rows.where("id < 0"), line_dedup.spots).value == bytes(line_dedup.BITS // 8)
+    assert line_dedup.bitmap(spark.createDataFrame([], "id long"), line_dedup.spots).value == bytes(line_dedup.BITS // 8)
+
+
 def test_a_worker_of_line_dedup_stays_small(spark):
     """One task reads 25 MB of text in one go and holds a few slices of it."""
     code = (
