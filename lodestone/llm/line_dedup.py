@@ -183,6 +183,7 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def row() -> pa.RecordBatch:
         body = np.minimum(255, np.round(8 * np.log2(1.0 + out))).astype(np.uint8).tobytes()
+        body = pa.compress(body, "zstd", asbytes=True)
         return pa.RecordBatch.from_arrays([pa.array([slot], pa.int64()), pa.array([body], pa.binary())], names=["slice", "body"])
 
     for batch in batches:
@@ -202,9 +203,9 @@ def word_counts(docs: DataFrame) -> np.ndarray:
     """The rarity table over all texts, COUNTERS bytes whatever their size."""
     sums = docs.select("text").mapInArrow(_count, "slice long, body binary").repartition("slice").sortWithinPartitions("slice")
     out = np.zeros((COUNTERS // SLICE, SLICE), np.uint8)
-    for batch in sums.mapInArrow(_slices, "slice long, body binary").toArrow().to_batches():  # COUNTERS bytes in all
+    for batch in sums.mapInArrow(_slices, "slice long, body binary").toArrow().to_batches():  # COUNTERS bytes at most, packed
         for slot, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            out[slot] = np.frombuffer(body.as_buffer(), np.uint8)
+            out[slot] = np.frombuffer(pa.decompress(body.as_buffer(), SLICE, "zstd"), np.uint8)
     return out.ravel()
 
 
@@ -303,7 +304,8 @@ def _pack(counts, percent: int, least: int, parts: int, limits: Limits):
             order, fresh, late = repeats(sets)
             first = np.zeros(len(sets), bool)
             first[order[fresh]] = True
-            keys, rows = met_here(keys[first[owner]], percent, limits)
+            keys = keys[first[owner]]
+            keys, rows = met_here(keys, percent, limits)
             late = sets[order[late]]
             rows.append(_rows(EQUAL, len(late), doc=late["doc"], line=late["line"]))
             sets = sets[first]
@@ -314,6 +316,7 @@ def _pack(counts, percent: int, least: int, parts: int, limits: Limits):
                 cols = [some[c][order] for c in some.dtype.names]
                 cuts = np.searchsorted(part[order], np.arange(parts + 1)).tolist()
                 out += [(i, kind, b"".join(planes_of(c[a:b]) for c in cols)) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+            del sets, keys, some, by, order, cols  # what is packed needs no second place
             cols = list(zip(*out, strict=True)) if out else [[], [], []]
             return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int8()), pa.array(cols[2], pa.binary())], names=["part", "kind", "body"])
 

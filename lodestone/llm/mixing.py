@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,8 +119,10 @@ def plan(docs: DataFrame, levels: Sequence[Column], tokens: Column, id_col: str
         raise ValueError(f"more than {MOST_LEAVES} sources")
     have = {tuple(r["path"]): r["tokens"] for r in sums}
     given = budgets(have, weights, int(share * sum(have.values())), max_epochs)
-    rows = [(list(p), given[p] // n if n else 0, given[p] % n if n else 0, given[p]) for p, n in have.items()]
-    leaves = spark.createDataFrame(rows, "path array<string>, epochs long, rest long, budget long")
+    rows = [{"path": list(p), "epochs": given[p] // n if n else 0, "rest": given[p] % n if n else 0, "budget": given[p]} for p, n in have.items()]
+    # By Arrow: from rows, each executor would keep further Python workers for them.
+    kinds = pa.schema([("path", pa.list_(pa.string())), ("epochs", pa.int64()), ("rest", pa.int64()), ("budget", pa.int64())])
+    leaves = spark.createDataFrame(pa.Table.from_pylist(rows, kinds), "path array<string>, epochs long, rest long, budget long")
     keyed = slim.where("tokens > 0").join(F.broadcast(leaves.where("rest > 0")), "path").withColumn("key", _key(seed, F.col("epochs"), F.col("id")))
     keyed = keyed.withColumn("bucket", F.substring("key", 1, 3))
     by_leaf = Window.partitionBy("path")

@@ -345,6 +345,15 @@ def test_mixing(spark, share, epochs):
     assert chosen.columns == clash.columns and sorted((r["doc_id"] for r in chosen.collect()), key=str) == sorted((i for i, _ in want), key=str)
 
 
+def test_the_leaves_of_a_mix_need_no_python_worker(spark, monkeypatch):
+    """A table made from Python rows passes plain Python workers, which executors keep beside those for Arrow."""
+    df = spark.createDataFrame([(i, "s1", "en", "a b c") for i in range(20)], "doc_id long, source string, lang string, text string")
+    made, make = [], type(spark.sparkContext).parallelize
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", lambda self, *a, **b: made.append(a) or make(self, *a, **b))
+    assert mixing.mix(df, queries.mix_levels(), mixing.n_words(F.col("text"))).collect()
+    assert not made
+
+
 def test_mixing_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
     assert mixing.mix(df, queries.mix_levels(), mixing.n_words(F.col("text"))).collect() == []

@@ -243,6 +243,22 @@ def test_one_bitmap_reaches_the_driver(spark, monkeypatch):
     assert line_dedup.bitmap(spark.createDataFrame([], "id long"), line_dedup.spots).value == bytes(line_dedup.BITS // 8)
 
 
+def test_word_counts_reach_the_driver_packed(spark, monkeypatch):
+    """16 MB of counters, most of them 0, swelled the driver's heap too; the table itself is the same."""
+    sizes, texts = [], near_texts(4)
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for name in ("collect", "toArrow"):
+        take = getattr(type(df), name)
+        size = lambda got: got.nbytes if isinstance(got, pa.Table) else sum(len(r["body"]) for r in got)
+        monkeypatch.setattr(type(df), name, lambda self, take=take: sizes.append(size(got := take(self))) or got)
+    got = line_dedup.word_counts(df)
+    body = np.frombuffer(lower("\n".join(t or "" for t in texts)).encode(), np.uint8)
+    starts, ends, _ = line_dedup.words(body, np.array([0, len(body)]))
+    want = np.bincount(line_dedup.bucket_of(line_dedup.word_hashes(body, starts, ends)).astype(np.int64), minlength=line_dedup.COUNTERS)
+    assert np.array_equal(got, np.minimum(255, np.round(8 * np.log2(1.0 + want))).astype(np.uint8))
+    assert 0 < sum(sizes) < 1 << 20
+
+
 def test_a_worker_of_line_dedup_stays_small(spark):
     """One task reads 25 MB of text in one go and holds a few slices of it."""
     code = (
