@@ -18,11 +18,11 @@ def load_corpus(spark: SparkSession, settings: readers.Settings, schema: str) ->
     """The datasets of ``settings`` in order, parsed, with doc_id from 0."""
     parts, left = [], settings.max_docs
     for dataset in settings.dataset_files:
-        rows = readers.json_array(spark, dataset.path, schema)
+        if left is not None and left <= 0:
+            break
+        rows = readers.json_array(spark, dataset.path, schema, None if left is None else "at_")
         if left is not None:
-            if left <= 0:
-                break
-            rows = rows.limit(left)
+            rows = rows.orderBy("at_").limit(left).drop("at_")
         parsed = corpus.parse(rows, dataset.parser)
         if left is not None:
             left -= parsed.where(F.col("error").isNull()).count()

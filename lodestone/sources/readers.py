@@ -13,15 +13,16 @@ from pyspark.sql import types as T
 
 from .. import schemas
 from ..operators.ordinals import with_ordinal
+from . import arrays
 
 
-def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The objects of files that each hold one JSON array; a file that holds
-    anything else is an error."""
-    kinds = spark.read.text(path, wholetext=True).select(F.substring(F.regexp_replace("value", r"^[\s﻿]+", ""), 1, 1).alias("c"))
-    if not kinds.where(F.col("c") != "[").isEmpty():
-        raise ValueError(f"not a JSON array: {path}")
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def json_array(spark: SparkSession, path: str, schema: str, position: str | None = None) -> DataFrame:
+    """The objects of files that each hold one JSON array, read by many tasks; a file
+    that holds anything else is an error.  An object that doesn't parse is a row of
+    nulls.  ``position``: a column for its place, in the order of paths."""
+    rows = arrays.objects(spark, path)
+    at = [F.struct("path", "number", "at").alias(position)] if position else []
+    return rows.select(F.from_json("text", schema).alias("row"), *at).select("row.*", *([position] if position else []))
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import bm25, evaluate, features, hybrid, knn, ordinals
 from lodestone.plans import catalogue, retrieval
-from lodestone.sources import crawl, readers, sinks
+from lodestone.sources import arrays, crawl, readers, sinks
 from lodestone.streaming.append import append_documents
 
 
@@ -215,3 +215,37 @@ def test_stream_append_is_idempotent(spark, tmp_path):
         append_documents(stream, str(tmp_path / "index"), str(tmp_path / checkpoint)).awaitTermination()
     assert sinks.read_table(spark, str(tmp_path / "index/documents")).count() == 2
     assert sinks.read_table(spark, str(tmp_path / "index/postings")).count() == 3
+
+
+def test_json_arrays_of_any_layout_are_cut_into_objects(spark, tmp_path):
+    """However the file is laid out and split, and wherever runs end."""
+    odd = ['a}b', '{"x": [', 'say "}" \\', "}\\\\", "", "é\n}", None, "y" * 200]
+    rows = [{"n": i, "t": odd[i % len(odd)], "d": {"e": [{"f": i}]}} for i in range(24)]
+    (tmp_path / "j").mkdir()
+    (tmp_path / "j/a.json").write_text(json.dumps(rows))
+    (tmp_path / "j/b.json").write_text("\ufeff \n" + json.dumps(rows, indent=1, ensure_ascii=False))
+    (tmp_path / "j/c.json").write_text("[ ]\n")
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size, run_bytes in (("1k", 40), (was, 1), (was, 1000)):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        found = arrays.objects(spark, str(tmp_path / "j"), run_bytes)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+        got = [json.loads(r["text"]) for r in found.orderBy("path", "number", "at").collect()]
+        assert got == rows + rows
+    for n, text in enumerate(('[{"a": 1}, {"a": 2', '[{"a": "x', '{"a": []}', " ")):
+        (tmp_path / f"bad{n}.json").write_text(text)
+        with pytest.raises(ValueError):
+            readers.json_array(spark, str(tmp_path / f"bad{n}.json"), "a long")
+
+
+def test_a_json_array_is_read_by_many_tasks(spark, tmp_path):
+    """One file in parts; Spark's own reader has the whole array in one task."""
+    (tmp_path / "a.json").write_text(json.dumps([{"a": i, "t": "x" * 1000} for i in range(3000)]))
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "300k")
+        rows = readers.json_array(spark, str(tmp_path / "a.json"), "a long, t string")
+        most = rows.groupBy(F.spark_partition_id()).count().agg(F.max("count"), F.sum("count")).first()
+        assert most[1] == 3000 and most[0] <= 1000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
