@@ -24,13 +24,14 @@ def admitted(href: Column, target: Column, root: str) -> Column:
     return ~F.contains(href, F.lit("#")) & target.startswith(root) & ~odd
 
 
-def crawl(pages: DataFrame, start: Sequence[str], root: str, max_seen: int = 50_000, max_items: int | None = None) -> DataFrame:
+def crawl(pages: DataFrame, start: Sequence[str], root: str, max_seen: int | None = None, max_items: int | None = None) -> DataFrame:
     """(url, depth) of the pages reached from ``start``.
 
     Each round joins the frontier with the link table and keeps the targets not
     seen before.  Whatever is admitted counts as seen; only ``.html`` goes on.
-    The loop ends with an empty frontier, ``max_seen`` urls or ``max_items``
-    pages.  Only counts reach the driver."""
+    The loop ends with an empty frontier; ``max_seen`` urls or ``max_items`` pages
+    end it before, where they are given.  Only counts reach the driver."""
+    most = min((n for n in (max_seen, max_items) if n is not None), default=None)
     spark = pages.sparkSession
     edges = links(pages)
     edges = stored(edges.where(admitted(F.col("href"), F.col("target"), root)).select("url", "target").distinct())
@@ -46,12 +47,10 @@ def crawl(pages: DataFrame, start: Sequence[str], root: str, max_seen: int = 50_
         if not new:
             break
         seen = stored(seen.unionByName(frontier))
-        total = seen.count()
-        if total >= max_seen or (max_items is not None and total >= max_items):
+        if most is not None and seen.count() >= most:
             break
     order = seen.orderBy("depth", "url")
-    most = min(max_seen, max_items) if max_items is not None else max_seen
-    return order.limit(most)
+    return order if most is None else order.limit(most)
 
 
 def with_sources(pages: DataFrame, sources: DataFrame, fallbacks: DataFrame | None = None, least: int = 10) -> DataFrame:

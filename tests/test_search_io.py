@@ -145,6 +145,12 @@ def test_crawl_goes_on_to_the_end_of_a_chain(spark):
     assert crawl.crawl(pages, ["https://s/0.html"], "https://s/", max_seen=7).count() == 7
 
 
+def test_crawl_has_no_end_but_the_frontiers(spark):
+    hub = "".join(f"<a href='{n}'>x</a>" for n in range(50_010))
+    pages = spark.createDataFrame([("https://s/0.html", hub)], "url string, html string")
+    assert crawl.crawl(pages, ["https://s/0.html"], "https://s/").count() == 50_011
+
+
 def test_links_in_any_quotes_and_dot_segments(spark):
     html = """<a href="a">1</a><a class=x href='../b?q#f'>2</a><a href=../../../c>3</a><a href="./d/./e/..">4</a><a href="//h/x">5</a><a href="?q=1">6</a>"""
     got = crawl.links(spark.createDataFrame([("https://s/x/y/z.html", html)], "url string, html string")).collect()
