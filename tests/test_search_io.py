@@ -69,6 +69,20 @@ def test_bm25_repeats_and_unknown_words(spark):
     assert set(got) == {(1, 2), (2, 2)} and got[2, 2] == pytest.approx(2 * got[1, 2])
 
 
+def test_pairs_of_queries_and_documents_are_not_shuffled(spark, sf_dir):
+    """They are many times the input: they are summed up where their document is."""
+    docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    plan = bm25.scores(docs, items)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(id" in plan and "hashpartitioning(query_id" not in plan
+
+
+def test_documents_that_share_an_id_are_scored_as_one(spark):
+    docs = spark.createDataFrame([(1, "a b"), (1, "a c"), (2, "a"), (3, "d")], "doc_id long, text string").repartition(4)
+    asks = spark.createDataFrame([(1, "b c"), (2, "c")], "item_id long, text string")
+    got = {(r["query_id"], r["doc_id"]): r["score"] for r in bm25.scores(docs, asks).collect()}
+    assert set(got) == {(1, 1), (2, 1)} and got[1, 1] == pytest.approx(2 * got[2, 1])
+
+
 def test_tfidf_rows_have_length_one(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = features.tfidf(docs, features=50).groupBy("id").agg(F.sum(F.col("weight") ** 2).alias("n")).collect()
