@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import stored
+from .bm25 import by_id
+
+PART_TEXT = 10_000_000  # characters of text in one part
 
 # English function words, the default stop list.
 STOP_WORDS = tuple(
@@ -31,20 +34,22 @@ def _terms(docs: DataFrame, id_col: str, text_col: str, name: str, stop_words: S
     return docs.select(F.col(id_col).alias(name), F.explode(ngrams(F.coalesce(F.col(text_col), F.lit("")), stop_words)).alias("term"))
 
 
-def fit_tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", features: int = 768, stop_words: Sequence[str] = STOP_WORDS) -> tuple[DataFrame, DataFrame]:
-    """(id, term, tf) of the terms that are features, and the vocabulary (term,
-    term_index, idf): the ``features`` most frequent terms of the corpus, ties to
-    the smaller term.  Terms are counted over partial sums; only those of the
-    vocabulary are shuffled with their documents."""
-    terms = _terms(docs, id_col, text_col, "id", stop_words)
+def fit_tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", features: int = 768, stop_words: Sequence[str] = STOP_WORDS) -> tuple[DataFrame, DataFrame, int]:
+    """(id, term, tf) of the terms that are features, the vocabulary (term,
+    term_index, idf), and the number of documents.  The vocabulary are the
+    ``features`` most frequent terms of the corpus, ties to the smaller term.  Texts
+    are dealt into parts of bounded size, so that no task counts the terms of more;
+    in these the terms of the vocabulary are counted by document."""
+    size = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length(text_col)), F.lit(0)).alias("text")).first()
+    dealt = by_id(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), size["text"], PART_TEXT)
+    terms = _terms(dealt, "id", "text", "id", stop_words)
     top = stored(terms.groupBy("term").agg(F.count(F.lit(1)).alias("total")).orderBy(F.col("total").desc(), "term").limit(features).select("term"))
     # At most ``features`` rows: the window and the broadcasts are that small.
     tf = stored(terms.join(F.broadcast(top), "term").groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf")))
-    n = docs.agg(F.count(F.lit(1)).alias("n"))
-    idf = F.log((F.lit(1) + F.col("n")) / (F.lit(1) + F.col("df"))) + 1
-    rows = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n))  # one row on the right
+    idf = F.log((F.lit(1) + F.lit(size["n"])) / (F.lit(1) + F.col("df"))) + 1
+    rows = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     index = F.row_number().over(Window.orderBy("term")) - 1
-    return tf, stored(rows.select("term", index.cast("int").alias("term_index"), idf.alias("idf")))
+    return tf, stored(rows.select("term", index.cast("int").alias("term_index"), idf.alias("idf"))), size["n"]
 
 
 def weighed(tf: DataFrame, vocabulary: DataFrame, by: str) -> DataFrame:
@@ -56,17 +61,20 @@ def weighed(tf: DataFrame, vocabulary: DataFrame, by: str) -> DataFrame:
 
 def tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", features: int = 768, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
     """(id, term, term_index, weight) of every document."""
-    return weighed(*fit_tfidf(docs, id_col, text_col, features, stop_words), "id")
+    tf, vocabulary, _ = fit_tfidf(docs, id_col, text_col, features, stop_words)
+    return weighed(by_id(tf, tf.count()), vocabulary, "id")
 
 
 def tfidf_scores(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", query_id: str = "item_id", text_col: str = "text", features: int = 768, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
     """(query_id, doc_id, score) by the product of the weights; queries are
-    weighed with the corpus' vocabulary and idf."""
-    tf, vocabulary = fit_tfidf(docs, id_col, text_col, features, stop_words)
+    weighed with the corpus' vocabulary and idf.  The pairs of queries and documents
+    are made and summed up inside of the documents' parts."""
+    tf, vocabulary, n = fit_tfidf(docs, id_col, text_col, features, stop_words)
     terms = _terms(queries, query_id, text_col, "query_id", stop_words).join(F.broadcast(vocabulary.select("term")), "term")
     q = weighed(terms.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("tf")), vocabulary, "query_id")
-    q = q.select("query_id", "term", F.col("weight").alias("qw"))
-    return weighed(tf, vocabulary, "id").join(q, "term").groupBy("query_id", F.col("id").alias("doc_id")).agg(F.sum(F.col("weight") * F.col("qw")).alias("score"))
+    q = stored(q.select("query_id", "term", F.col("weight").alias("qw")))
+    pairs = n * q.select("query_id").distinct().count()
+    return weighed(by_id(tf, pairs), vocabulary, "id").join(q, "term").groupBy("query_id", F.col("id").alias("doc_id")).agg(F.sum(F.col("weight") * F.col("qw")).alias("score"))
 
 
 def unit(vectors: Column) -> Column:

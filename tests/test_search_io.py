@@ -72,8 +72,9 @@ def test_bm25_repeats_and_unknown_words(spark):
 def test_pairs_of_queries_and_documents_are_not_shuffled(spark, sf_dir):
     """They are many times the input: they are summed up where their document is."""
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
-    plan = bm25.scores(docs, items)._jdf.queryExecution().executedPlan().toString()
-    assert "hashpartitioning(id" in plan and "hashpartitioning(query_id" not in plan
+    for scored in (bm25.scores(docs, items), features.tfidf_scores(docs, items)):
+        plan = scored._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(id" in plan and "hashpartitioning(query_id" not in plan
 
 
 def test_documents_that_share_an_id_are_scored_as_one(spark):
