@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
+
 
 def fuse(dense: DataFrame, sparse: DataFrame | None, k: int = 5, alpha: float = 0.7, gate: float = 0.1, digits: int = 6) -> DataFrame:
     """(query_id, doc_id, score, rank) from ``dense`` (query_id, doc_id, score,
@@ -16,11 +18,16 @@ def fuse(dense: DataFrame, sparse: DataFrame | None, k: int = 5, alpha: float =
     ``sparse`` the dense ranking is cut to k."""
     if sparse is None:
         return dense.where(F.col("rank") <= k).select("query_id", "doc_id", "score", "rank")
-    left = dense.select("query_id", "doc_id", F.col("score").alias("d"), F.col("rank").alias("dense_rank"))
-    both = left.join(sparse.select("query_id", "doc_id", F.col("score").alias("s")), ["query_id", "doc_id"], "full_outer")
-    both = both.where(F.col("dense_rank").isNotNull() | (F.col("s") > gate))
-    score = F.lit(alpha) * F.coalesce("d", F.lit(0.0)) + F.lit(1 - alpha) * F.coalesce("s", F.lit(0.0))
-    both = both.withColumn("score", F.round(score, digits))
+    left = stored(dense.select("query_id", "doc_id", F.col("score").alias("d"), F.col("rank").alias("dense_rank")))
+    score = F.round(F.lit(alpha) * F.coalesce("d", F.lit(0.0)) + F.lit(1 - alpha) * F.coalesce("s", F.lit(0.0)), digits)
+    # Of the sparse rows those of a dense document stay, one a rank, and of the others
+    # the best k: the full table takes no part in a shuffle where ``left`` is small.
+    both = sparse.select("query_id", "doc_id", F.col("score").alias("s")).join(left, ["query_id", "doc_id"], "left")
+    both = both.where(F.col("dense_rank").isNotNull() | (F.col("s") > gate)).withColumn("score", score)
+    alike = Window.partitionBy("query_id", "dense_rank").orderBy(F.col("score").desc(), F.col("doc_id"))
+    both = stored(both.withColumn("place", F.row_number().over(alike)).where(F.col("place") <= k).select("query_id", "doc_id", "dense_rank", "score"))
+    alone = left.join(both.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti").withColumn("s", F.lit(None).cast("double"))
+    both = both.unionByName(alone.select("query_id", "doc_id", "dense_rank", score.alias("score")))
     by = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("dense_rank").asc_nulls_last(), F.col("doc_id"))
     return both.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "doc_id", "score", "rank")
 

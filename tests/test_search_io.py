@@ -62,6 +62,17 @@ def test_fusion_ties_and_gate(spark):
     assert hybrid.fuse(dense, None, 2).count() == 2
 
 
+def test_fusion_limits_the_sparse_rows_before_the_shuffle(spark):
+    """And a dense document of any rank keeps its sparse part, or goes without."""
+    dense = spark.createDataFrame([(1, 10 + i, 0.5 - i / 100, i + 1) for i in range(4)], "query_id int, doc_id int, score double, rank int")
+    sparse = spark.createDataFrame([(1, 13, 1.0), (1, 12, -0.5), (1, 11, 0.05), *[(1, i, 0.9) for i in range(20, 40)]], "query_id int, doc_id int, score double")
+    got = hybrid.fuse(dense, sparse, 3)
+    assert [(r["doc_id"], r["score"]) for r in got.orderBy("rank").collect()] == [(13, 0.629), (11, 0.358), (10, 0.35)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "FullOuter" not in plan and "LeftAnti" in plan
+    assert [r["doc_id"] for r in hybrid.fuse(dense, sparse, 6).orderBy("rank").collect()] == [13, 11, 10, 20, 21, 22]
+
+
 def test_bm25_repeats_and_unknown_words(spark):
     docs = spark.createDataFrame([(1, "a b b"), (2, "b c"), (3, "d"), (4, None)], "doc_id long, text string")
     asks = spark.createDataFrame([(1, "c"), (2, "c c"), (3, "zzz")], "item_id long, text string")
