@@ -62,6 +62,14 @@ def test_fusion_ties_and_gate(spark):
     assert hybrid.fuse(dense, None, 2).count() == 2
 
 
+def test_normalising_writes_a_row_a_query(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(bm25, "stored", lambda df: written.append(df.count()) or df)
+    scored = spark.createDataFrame([(q, d, float(q * d)) for q in range(3) for d in range(1, 50)], "query_id int, doc_id int, score double")
+    got = bm25.normalised(scored).where("score = 1").collect()
+    assert {(r["query_id"], r["doc_id"]) for r in got} == {(1, 49), (2, 49)} and written == [3]
+
+
 def test_fusion_limits_the_sparse_rows_before_the_shuffle(spark):
     """And a dense document of any rank keeps its sparse part, or goes without."""
     dense = spark.createDataFrame([(1, 10 + i, 0.5 - i / 100, i + 1) for i in range(4)], "query_id int, doc_id int, score double, rank int")
